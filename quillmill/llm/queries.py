@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import piece_bpe
+from quillmill.llm import piece_bpe, pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text, found by anchor expansion."""
+    found = pii.find(_documents(spark, sf_dir).select("doc_id", "text"), drop=("text",))
+    return found.select(
+        "doc_id",
+        *(pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(pii.joined(pii.base(F.col("spans"))), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -31,6 +42,7 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = Non
 
 
 QUERIES = {
+    "op1_anchor_pii": op1_anchor_pii,
     "op6_piece_bpe": op6_piece_bpe,
 }
 
