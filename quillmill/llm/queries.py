@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import piece_bpe, pii
+from quillmill.llm import decontaminate, piece_bpe, pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +41,15 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = Non
     )
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of test items, substitutions tolerated."""
+    return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_anchor_pii": op1_anchor_pii,
     "op6_piece_bpe": op6_piece_bpe,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE_SQL: dict[str, str] = {}
