@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, piece_bpe, pii
+from quillmill.llm import audio, decontaminate, piece_bpe, pii
+from quillmill.llm.common import written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,14 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as 8-bit audio in Parquet, read back, with a digest of their span features."""
+    stored = written(audio.store(_documents(spark, sf_dir).select("doc_id", "text")), "media")
+    found = audio.features(stored, facts=True)
+    whole = F.transform("spans", lambda s: F.concat_ws(":", F.round(s["t0"], 4).cast("string"), F.round(s["t1"], 4).cast("string"), F.concat_ws(" ", F.transform(s["tensor"], lambda v: F.round(v.cast("double"), 3).cast("string")))))
+    return found.withColumn("feature", F.concat(F.size("spans").cast("string"), F.lit(":"), F.sha2(F.concat_ws(",", whole), 256))).drop("spans")
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -48,6 +57,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_anchor_pii": op1_anchor_pii,
+    "op3_audio": op3_audio,
     "op6_piece_bpe": op6_piece_bpe,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
