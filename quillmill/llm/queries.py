@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import audio, decontaminate, piece_bpe, pii
+from quillmill.llm import audio, decontaminate, piece_bpe, pii, token_files
 from quillmill.llm.common import written
 
 
@@ -38,6 +38,11 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.concat(F.size("spans").cast("string"), F.lit(":"), F.sha2(F.concat_ws(",", whole), 256))).drop("spans")
 
 
+def op4_bit_packed(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """Ids of all texts in bit-packed files, read back."""
+    return token_files.round_trip(_documents(spark, sf_dir), tokenizer_path or _vocabulary("byte_bpe_50k.json"), 2)
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -58,6 +63,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_anchor_pii": op1_anchor_pii,
     "op3_audio": op3_audio,
+    "op4_bit_packed": op4_bit_packed,
     "op6_piece_bpe": op6_piece_bpe,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
