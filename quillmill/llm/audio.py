@@ -175,7 +175,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
     return df.mapInArrow(run, out.add(size, T.LongType()).add(media, T.BinaryType()))
 
 
-SPAN = T.StructType([T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType()), T.StructField("tensor", T.ArrayType(T.FloatType(), False))])
+SPANS = T.ArrayType(T.StructType([T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType()), T.StructField("tensor", T.ArrayType(T.FloatType(), False))]))
 
 
 def features(df: DataFrame, media: str = "media", spans: str = "spans", facts: bool = False) -> DataFrame:
@@ -206,7 +206,7 @@ def features(df: DataFrame, media: str = "media", spans: str = "spans", facts: b
             got = [[{"t0": a, "t1": b, "tensor": t.ravel()} for a, b, t in spans_of(s)] for s in samples]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, kind)], names=[*keep, *(n for n, _ in extra), spans])
 
-    return df.mapInArrow(run, out.add(spans, SPAN))
+    return df.mapInArrow(run, out.add(spans, SPANS))
 
 
 def tensors(table: pa.Table, column: str = "tensor") -> pa.ExtensionArray:
