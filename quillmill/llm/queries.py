@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import audio, decontaminate, piece_bpe, pii, token_files
+from quillmill.llm import audio, decontaminate, piece_bpe, pii, token_files, warc
 from quillmill.llm.common import written
 
 
@@ -30,6 +30,11 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as 8-bit audio in Parquet, read back, with a digest of their span features."""
     stored = written(audio.store(_documents(spark, sf_dir).select("doc_id", "text")), "media")
@@ -62,10 +67,23 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_anchor_pii": op1_anchor_pii,
+    "op2_warc": op2_warc,
     "op3_audio": op3_audio,
     "op4_bit_packed": op4_bit_packed,
     "op6_piece_bpe": op6_piece_bpe,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB has no base32: five hexadecimal digits are four characters of it.
+_BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha, {1 + 5 * k}, 5))::INT >> {down}) % 32, 1)" for k in range(8) for down in (15, 10, 5, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS sha FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS keep FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM g""",
+}

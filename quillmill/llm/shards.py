@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +29,15 @@ MANIFEST = T.StructType(
 )
 
 
-def sharded(df: DataFrame, key: str, weight, target: int, shard: str = "shard") -> tuple[DataFrame, int]:
-    """``df`` with a shard number that never falls as the integer ``key`` rises, and the number of shards.
+def borders(df: DataFrame, key: str, weight: Column, target: int) -> tuple[Column, int]:
+    """A shard number that never falls as the integer ``key`` rises, as an expression, and the number of shards.
 
     A shard holds about ``target`` of ``weight``; null keys are in shard 0. The histogram that reaches
     the driver has at most ``BUCKETS`` rows whatever the table holds.
     """
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return df.withColumn(shard, F.lit(0)), 1
+        return F.lit(0), 1
     width = max(1, -(-(high - low + 1) // BUCKETS))
     bucket = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(0))
     histogram = df.select(bucket.alias("b"), weight.alias("w")).groupBy("b").agg(F.sum("w").alias("w")).collect()
@@ -51,7 +51,7 @@ def sharded(df: DataFrame, key: str, weight, target: int, shard: str = "shard")
     table = [0] * (max(weights) + 1)
     for b, s in starts:
         table[b] = s
-    return df.withColumn(shard, F.get(F.from_json(F.lit(json.dumps(table)), "array<int>"), bucket)), number + 1
+    return F.get(F.from_json(F.lit(json.dumps(table)), "array<int>"), bucket), number + 1
 
 
 def dealt(df: DataFrame, shards: int, *order, shard: str = "shard") -> DataFrame:
@@ -71,7 +71,7 @@ class Files:
         name = f"{shard:06d}-{number:05d}{self.ending}"
         temporary = f"_{uuid.uuid4().hex}-{name}"
         self.rows.append({"shard": shard, "file": number, "temporary": f"{self.folder}/{temporary}", "path": f"{self.folder}/{name}"})
-        return self.fs.open_output_stream(f"{self.root}/{temporary}")
+        return self.fs.open_output_stream(f"{self.root}/{temporary}", compression=None)
 
     def done(self, rows: int, units: int, size: int) -> None:
         self.rows[-1] |= {"rows": rows, "units": units, "bytes": size}

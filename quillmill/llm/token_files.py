@@ -221,8 +221,8 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, doc_id:
     documents in order.
     """
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    source, n = shards.sharded(source, "doc_id", F.octet_length("text") + 16, target_bytes)
-    dealt = shards.dealt(source, n, F.col("doc_id").asc_nulls_first(), "text")
+    shard, n = shards.borders(source, "doc_id", F.octet_length("text") + 16, target_bytes)
+    dealt = shards.dealt(source.withColumn("shard", shard), n, F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files, writer, end = encoder(tokenizer_path), None, None, np.array([end_id], "<u4").tobytes()
