@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import audio, decontaminate, piece_bpe, pii, token_files, warc
+from quillmill.llm import audio, decontaminate, near_dup, piece_bpe, pii, token_files, warc
 from quillmill.llm.common import written
 
 
@@ -60,6 +60,11 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = Non
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_dup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of test items, substitutions tolerated."""
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_audio": op3_audio,
     "op4_bit_packed": op4_bit_packed,
     "op6_piece_bpe": op6_piece_bpe,
+    "op7_minhash": op7_minhash,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
