@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quillmill.llm.common import filesystem, fresh
 
-BUCKETS = 4096
+BUCKETS = 16384
 
 MANIFEST = T.StructType(
     [T.StructField("shard", T.IntegerType()), T.StructField("file", T.IntegerType()), T.StructField("temporary", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("units", T.LongType()), T.StructField("bytes", T.LongType())]

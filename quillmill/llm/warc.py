@@ -108,7 +108,7 @@ class RollingWriter:
             self.stream, self.rows, self.units, self.size = None, 0, 0, 0
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 256 << 20) -> DataFrame:
+def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 64 << 20) -> DataFrame:
     """Write the archives to ``folder``; returns the manifest."""
     source = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     slim = written(source.select("id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("n")), "payloads")
