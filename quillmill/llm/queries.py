@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import audio, decontaminate, near_dup, piece_bpe, pii, quality, token_files, warc
+from quillmill.llm import audio, decontaminate, near_dup, piece_bpe, pii, quality, token_files, toxicity, warc
 from quillmill.llm.common import written
 
 
@@ -70,6 +70,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of test items, substitutions tolerated."""
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op6_piece_bpe": op6_piece_bpe,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
+    "op9_nnpu": op9_nnpu,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
