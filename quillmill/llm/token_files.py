@@ -9,8 +9,8 @@ document ids, first positions, lengths (8 each) | counts of blocks and documents
 ``QTOK``. Integers are little-endian; bits fill a byte from its lowest.
 
 Texts are encoded by the tokenizers library. A lone space between other characters always starts a
-new pre-token of a byte-level BPE with the usual split pattern, so texts are cut there and each
-distinct string is encoded once per worker while a bounded table holds it; texts that hold a special
+new pre-token of a byte-level BPE with the usual split pattern, and so does what follows a run of
+letters, so texts are cut there and each distinct string is encoded once per worker while a bounded table holds it; texts that hold a special
 token, and tokenizers of another build, are encoded whole.
 
 Defined results: null is the empty text; an empty text holds the end id alone; rows with equal ids
@@ -38,10 +38,11 @@ from quillmill.llm.common import filesystem, fresh, text_of
 BLOCK_IDS = 8192
 MAGIC = b"QTOK"
 NO_ID = -(2**63)
-KEPT_STRINGS = 400_000
+KEPT_STRINGS = 700_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"  # White_Space in Unicode
-_CUT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Letters up to a mark, digit, space or the end (which always end a pre-token), other strings without white space, white space.
+_CUT = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 # ---- packing
@@ -181,13 +182,15 @@ class Encoder:
 
     def _learn(self, strings: list[str]) -> None:
         """Encodes strings without white space inside, joined by line feeds, which are pre-tokens of their own."""
-        ids = np.frombuffer(self.whole("\n".join(strings)), "<u4")
+        groups = [strings[at : at + 256] for at in range(0, len(strings), 256)]
         line = int.from_bytes(self.line, "little")
-        ends = np.append(np.flatnonzero(ids == line), len(ids)).tolist()
-        data, start = ids.tobytes(), 0
-        for s, end in zip(strings, ends, strict=True):
-            self.table[s] = data[4 * start : 4 * end]
-            start = end + 1
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = (4 * np.append(np.flatnonzero(ids == line), len(ids))).tolist()
+            data, start = ids.tobytes(), 0
+            for s, end in zip(group, ends, strict=True):
+                self.table[s] = data[start:end]
+                start = end + 4
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -195,13 +198,12 @@ class Encoder:
         parts = [None if any(x in t for x in self.special) else _CUT.findall(t) for t in texts]
         if len(self.table) > KEPT_STRINGS:
             self.table.clear()
-        new = {w for p in parts if p for w in p}.difference(self.table)
+        new = set().union(*(p for p in parts if p)).difference(self.table)
         spaces = [w for w in new if not w.strip(" ") or w[-1].isspace()]
         for w in spaces:
             self.table[w] = self.whole(w)
         words = list(new.difference(spaces))
-        for at in range(0, len(words), 20_000):
-            self._learn(words[at : at + 20_000])
+        self._learn(words)
         get = self.table.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
