@@ -8,10 +8,11 @@ filled, independently for each empty bin. Bands of ``ROWS`` bins are hashed to b
 Documents with equal sets are one class from the start. In each bucket one class is the centre and
 the candidate pairs are a star from it to the others, so there are at most as many pairs as bucket
 members. The centre is the member that shares most buckets with others, as the text does that the
-others were copied from. Pairs are confirmed on the full sets. Where the members of a bucket are
-still in several components, the pairs not yet looked at follow: all of them in buckets of at most
-``SMALL`` members, and in larger ones further stars whose centres then leave the bucket, until
-nothing is left. No pair of a bucket is dropped, except that sizes or sketches exclude a link.
+others were copied from. Pairs are confirmed on the full sets. In buckets whose members are still in
+several components, further rounds of stars follow from members that were no centres yet (all
+members of buckets of up to ``SMALL``, else ``SLOTS`` of them) to the members of other components,
+until a round confirms no link. So a link is lost only if its two texts share no bucket, or if no
+round makes one of them a centre while links are still being found.
 
 With 36 bands of 7 rows a pair at the threshold of 0.85 misses all buckets once in a million times.
 Shingles are compared by 64-bit hashes, classes by a 64-bit hash of their sets.
@@ -38,7 +39,7 @@ from quillmill.llm.common import slices, written
 
 SHINGLE, BANDS, ROWS = 5, 36, 7
 BINS = BANDS * ROWS
-SMALL, SLOTS = 64, 16
+SMALL, SLOTS = 8, 2
 KEPT_WORDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -218,42 +219,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = written(rows.join(crowded, "bucket").select("bucket", "class", "n", "m"), "buckets")
     fame = rows.groupBy("class").agg(F.sum("m").alias("fame"))
-    rows = written(rows.join(fame, "class").select("bucket", "class", "n", "fame"), "buckets")
-
-    links, tested, labels, first = None, None, None, True
-    while True:
-        labelled = rows if labels is None else rows.join(labels, "class", "left")
-        labelled = labelled.withColumn("least", F.col("class") if labels is None else F.coalesce("least", "class"))
-        stats = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo <> hi").select("bucket", "m")
-        rows = written(labelled.join(stats, "bucket").select("bucket", "class", "n", "fame", "least", "m"), "buckets")
-        if rows.isEmpty():
-            break
-        member = rows.select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("least").alias("b_least"))
-        large = rows if first else rows.where(F.col("m") > SMALL)
-        slot = F.lit(0) if first else F.pmod(F.xxhash64("class"), F.lit(SLOTS))
-        centre = large.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("fame", F.negative("class").alias("x"), "class", "n", "least")).alias("c"))
+    rows = written(rows.join(fame, "class").select("bucket", "class", "n", "fame", "m"), "buckets")
+
+    links, labels, first = None, None, True
+    while not rows.isEmpty():
+        labelled = rows.withColumn("least", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("least", F.coalesce("least", "class"))
+        if not first:  # buckets with members of several components
+            open_ = labelled.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
+            labelled = written(labelled.drop("m").join(open_, "bucket"), "buckets")
+        seat = F.when(F.col("m") <= SMALL, F.pmod(F.xxhash64("class"), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("class"), F.lit(SLOTS)))
+        centre = labelled.groupBy("bucket", (F.lit(0) if first else seat).alias("seat")).agg(F.max(F.struct("fame", F.negative("class").alias("x"), "class", "n", "least")).alias("c"))
         centre = written(centre.select("bucket", F.col("c.class").alias("a"), F.col("c.n").alias("a_n"), F.col("c.least").alias("a_least")), "centres")
-        stars = centre
-        if not first:
-            small = rows.where(F.col("m") <= SMALL).select("bucket", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("least").alias("a_least"))
-            stars = centre.unionByName(small)
-        pairs = member.join(stars, "bucket").where((F.col("a_least") != F.col("b_least")) & (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")))
+        member = labelled.select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("least").alias("b_least"))
+        pairs = member.join(centre, "bucket").where((F.col("a_least") != F.col("b_least")) & (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
         side = classes.select("class", "n", "sketch")
         close = pairs.join(side.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
         close = close.join(side.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
         close = written(_similar_sketches(close), "candidates")
-        if not close.isEmpty():
-            found = _confirmed(close, docs, classes, percent)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        rows = rows.select("bucket", "class", "n", "fame", "m")
-        if not first:
-            rows = rows.where(F.col("m") > SMALL)
-        rows = rows.join(centre.select("bucket", F.col("a").alias("class")), ["bucket", "class"], "left_anti").select("bucket", "class", "n", "fame")
+        found = _confirmed(close, docs, classes, percent)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        rows = written(labelled.select("bucket", "class", "n", "fame", "m").join(centre.select("bucket", F.col("a").alias("class")), ["bucket", "class"], "left_anti"), "buckets")
         first = False
 
     named = classes.select("class", "rep")
