@@ -1,16 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positive class; texts of any kind, their labels not looked at, are the
-unlabelled one. Features are the presence of words and of word beginnings (four and five letters) in
+unlabelled one. Features are the presence of words and of word beginnings (four to seven letters) in
 the whole text. Features are screened by document counts: with the class prior, the counts of both
 kinds give the rate at which a clean text would hold the feature, and those that clean texts hold
 hardly ever are kept. A linear classifier is then trained in numpy on the non-negative risk
 
     prior * R_positive(+) + max(0, R_unlabelled(-) - prior * R_positive(-))
 
-and its margin is turned into a probability by the ratio of both kinds' margin densities, made
-monotone. The classifier is fit on a bounded sample: about ``positives`` and ``unlabelled`` rows at
-most, picked by a hash of the id; the class prior is the toxic share among all rows that may be learnt.
+and its margin is turned into a probability by isotonic regression on the labelled rows of the sample.
+The classifier is fit on a bounded sample: about ``positives`` and ``unlabelled`` rows at
+most, picked by a hash of the id, of which one text of each group of copies counts, so that the words
+of a copied text are no evidence; the class prior is the toxic share among labelled rows of the sample.
 Every text is scored whole.
 
 Defined results: null and empty texts hold no feature and get the lowest score; without toxic labels
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +39,13 @@ from quillmill.llm.quality import isotonic, learnable
 _WORD = re.compile(r"[^\W\d_]+")
 MOST_FEATURES = 4096
 STEPS = 200
+BEGINNINGS = (4, 5, 6, 7)
 
 
 def forms(text: str | None) -> set[str]:
-    """The features of a text: its distinct words, and their first four and five letters with a star."""
+    """The features of a text: its distinct words, and their first four to seven letters with a star."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:5] + "*" for w in words if len(w) > 5} | {w[:4] + "*" for w in words if len(w) > 4}
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGINNINGS))
 
 
 @dataclass
@@ -55,12 +58,8 @@ class Model:
 
     def hits(self, text: str | None) -> list[int]:
         """The features of the model that a text holds."""
-        index, out = self.index, set()
-        for w in set(_WORD.findall((text or "").lower())):
-            for f in (w, w[:4] + "*" if len(w) > 4 else None, w[:5] + "*" if len(w) > 5 else None):
-                if f is not None and (i := index.get(f)) is not None:
-                    out.add(i)
-        return sorted(out)
+        index = self.index
+        return sorted(index[f] for f in forms(text) if f in index)
 
     def margin(self, rows: list[list[int]]) -> np.ndarray:
         """The weights' sum; the last weight is the constant."""
@@ -78,7 +77,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 500, rate: float = 0.05, decay: float = 1e-6) -> np.ndarray:
     """Weights (constant last) of a linear classifier by the non-negative risk with the sigmoid loss.
 
     Rows are distinct feature vectors with their counts in the first column. When the corrected
@@ -112,39 +111,65 @@ def _distinct(rows: list[list[int]], size: int) -> np.ndarray:
     return out.astype(np.float64)
 
 
+def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three numbers of each of which copies and most near copies share, and others hardly ever: pairs of least hashes of the longer words."""
+    for batch in slices(batches, 1024):
+        rows = []
+        for t in batch.column("text").to_pylist():
+            words = [w for w in set(_WORD.findall((t or "").lower())) if len(w) > 5] or [t or ""]
+            least = [min(xxhash.xxh3_64_intdigest(w, k) for w in words) for k in range(6)]
+            rows.append([xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(least[::2], least[1::2], strict=True)])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("row"), *(pa.array(c, pa.int64()) for c in cols)], names=["kind", "row", "g0", "g1", "g2"])
+
+
+def _one_of_each_group(sample: DataFrame) -> DataFrame:
+    """One text of each group of copies and near copies of a kind."""
+    sample = written(sample.withColumn("row", F.xxhash64("text")), "sample")
+    left = sample.mapInArrow(_least_hashes, "kind int, row long, g0 long, g1 long, g2 long")
+    for g in ("g0", "g1", "g2"):
+        left = left.groupBy("kind", g).agg(F.min(F.struct("row", "g0", "g1", "g2")).alias("x")).select("kind", "x.row", "x.g0", "x.g1", "x.g2")
+    return written(sample.join(left.select("kind", "row"), ["kind", "row"]).dropDuplicates(["kind", "row"]).select("text", "kind"), "sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 10_000, unlabelled: int = 30_000) -> Model:
     """Fit on ``docs`` (doc_id, text) and the labels that may be learnt."""
     known = labels.where(learnable(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("label")).where("label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    prior = float((toxic or 0) / n) if n else 0.0
-    if not 0 < prior < 1:
-        return Model(prior)
-    million = F.lit(1_000_000)
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(7)), million)
-    share_u = min(1.0, unlabelled / max(1, docs.count()))
-    share_p = min(1.0, positives / toxic)
-    toxic_ids = known.where("label = 1").where(pick < int(share_p * 1e6)).select("doc_id")
+    if not toxic or toxic == n:
+        return Model(float((toxic or 0) / n) if n else 0.0)
     learn = docs.where(learnable(F.col("doc_id")))
-    sample = learn.join(toxic_ids, "doc_id").select("text", F.lit(True).alias("toxic")).unionByName(learn.where(pick < int(share_u * 1e6)).select("text", F.lit(False).alias("toxic")))
-    sample = written(sample, "sample")
+
+    def some(rows: DataFrame, bound: int, of: float) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, bound / max(1, of)) * 1e6))
+
+    wanted = some(known.where("label = 1"), positives, toxic).unionByName(some(known.where("label = 0"), unlabelled, n - toxic))
+    # kinds: 1 confirmed toxic, 0 confirmed clean (for the prior alone), -1 unlabelled
+    sample = learn.join(wanted, "doc_id").select("text", F.col("label").cast("int").alias("kind")).unionByName(some(learn, unlabelled, docs.count()).select("text", F.lit(-1).alias("kind")))
+    sample = _one_of_each_group(sample)
+    sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(-1, 0)
+    prior = n_p / max(1, n_p + sizes.get(0, 0))
+    if not n_p or not n_u or prior == 1:
+        return Model(prior)
+    # the shares of both kinds that were sampled differ by what their bounds cut off
+    cut_p, cut_n = min(1.0, positives / toxic), min(1.0, unlabelled / (n - toxic))
+    prior = (n_p / cut_p) / (n_p / cut_p + sizes.get(0, 0) / cut_n)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             counts: dict[str, list[int]] = {}
-            for t, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for t, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
                 for f in forms(t):
-                    counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
+                    counts.setdefault(f, [0, 0])[0 if kind == 1 else 1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["f", "p", "u"])
 
-    n_p, n_u = (sample.where(F.col("toxic") == x).count() for x in (True, False))
-    if not n_p or not n_u:
-        return Model(prior)
-    counts = sample.mapInArrow(explode, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.where("kind <> 0").mapInArrow(explode, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     p, u = F.col("p") / n_p, F.col("u") / n_u
     clean = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior))  # the rate in clean texts
     z = (p - u) / F.sqrt((u + 1 / n_u) / n_p)
-    chosen = counts.where((F.col("p") >= max(3, n_p // 1000)) & (z > 4) & (clean < 0.15 * p)).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
+    chosen = counts.where((F.col("p") >= max(4, n_p // 100)) & (z > 4) & (clean < 0.15 * p)).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(MOST_FEATURES)
     model = Model(prior, {r["f"]: i for i, r in enumerate(chosen.collect())})
     if not model.index:
         return model
@@ -152,33 +177,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             rows = [model.hits(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(rows, pa.list_(pa.int32()))], names=["kind", "hits"])
 
-    rows = sample.mapInArrow(found, "toxic boolean, hits array<int>").groupBy("toxic", "hits").count().collect()  # at most a row for each row of the sample
+    rows = sample.mapInArrow(found, "kind int, hits array<int>").groupBy("kind", "hits").count().collect()  # at most a row for each row of the sample
     size = len(model.index)
     sets = []
-    for kind in (True, False):
-        mine = [r for r in rows if r["toxic"] == kind]
+    for kind in (1, -1):
+        mine = [r for r in rows if r["kind"] == kind]
         dense = _distinct([r["hits"] for r in mine], size)
         dense[:, 0] = [r["count"] for r in mine]
         sets.append(dense)
     model.weights = train_nnpu(*sets, prior)
-    _calibrate(model, [[(r["hits"], r["count"]) for r in rows if r["toxic"] == kind] for kind in (True, False)])
+    _calibrate(model, [[(r["hits"], r["count"]) for r in rows if r["kind"] == kind] for kind in (1, 0)])
     return model
 
 
 def _calibrate(model: Model, rows: list[list[tuple[list[int], int]]]) -> None:
-    """The share of toxic texts by margin, from the densities of both kinds and the prior."""
+    """The share of toxic texts by margin, from the confirmed toxic and clean rows weighted to the prior."""
+    if not rows[1]:
+        rows = [rows[0], [([], 1)]]
     margins = [model.margin([r for r, _ in kind]) for kind in rows]
     counts = [np.array([c for _, c in kind], np.float64) for kind in rows]
     low, high = min(m.min() for m in margins), max(m.max() for m in margins)
     edges = np.linspace(low - 1e-6, high + 1e-6, STEPS + 1)
-    p, u = (np.histogram(m, edges, weights=c)[0] for m, c in zip(margins, counts, strict=True))
-    # unlabelled rows of a bin, of which the positive rows say how many are toxic; one clean row is taken for granted
-    p = model.prior * p / p.sum() * u.sum()
-    used = np.flatnonzero(p + u)
-    share = np.minimum(1.0, p[used] / np.maximum(u[used], p[used] + 1e-9))
-    share = isotonic(share, (p + u)[used])
+    toxic, clean = (share * np.histogram(m, edges, weights=c)[0] / c.sum() for m, c, share in zip(margins, counts, (model.prior, 1 - model.prior), strict=True))
+    used = np.flatnonzero(toxic + clean)
+    weight = (toxic + clean)[used]
+    share = isotonic(toxic[used] / weight, weight)
     middles = (edges[used] + edges[used + 1]) / 2
     span = high - low + 2
     model.edges = np.concatenate([[low - 1], middles, [high + 1]])
