@@ -9,8 +9,8 @@ hardly ever are kept. A linear classifier is then trained in numpy on the non-ne
     prior * R_positive(+) + max(0, R_unlabelled(-) - prior * R_positive(-))
 
 and its margin is turned into a probability by isotonic regression on the labelled rows of the sample.
-The classifier is fit on a bounded sample: about ``positives`` and ``unlabelled`` rows at
-most, picked by a hash of the id, of which one text of each group of copies counts, so that the words
+The classifier is fit on a bounded sample: about ``positives`` toxic and
+clean rows each and ``unlabelled`` rows at most, picked by a hash of the id (a bounded table, broadcast), of which one text of each group of copies counts, so that the words
 of a copied text are no evidence; the class prior is the toxic share among labelled rows of the sample.
 Every text is scored whole.
 
@@ -124,15 +124,16 @@ def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _one_of_each_group(sample: DataFrame) -> DataFrame:
-    """One text of each group of copies and near copies of a kind."""
-    sample = written(sample.withColumn("row", F.xxhash64("text")), "sample")
+    """One text of each group of copies and near copies of a kind; of a bounded sample, so the rows kept may be broadcast."""
+    sample = sample.withColumn("row", F.xxhash64("text"))
     left = sample.mapInArrow(_least_hashes, "kind int, row long, g0 long, g1 long, g2 long")
     for g in ("g0", "g1", "g2"):
         left = left.groupBy("kind", g).agg(F.min(F.struct("row", "g0", "g1", "g2")).alias("x")).select("kind", "x.row", "x.g0", "x.g1", "x.g2")
-    return written(sample.join(left.select("kind", "row"), ["kind", "row"]).dropDuplicates(["kind", "row"]).select("text", "kind"), "sample")
+    left = written(left.select("kind", "row"), "rows")
+    return written(sample.join(F.broadcast(left), ["kind", "row"]).dropDuplicates(["kind", "row"]).select("text", "kind"), "sample")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 10_000, unlabelled: int = 30_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 10_000, unlabelled: int = 20_000) -> Model:
     """Fit on ``docs`` (doc_id, text) and the labels that may be learnt."""
     known = labels.where(learnable(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("label")).where("label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
@@ -144,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     def some(rows: DataFrame, bound: int, of: float) -> DataFrame:
         return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, bound / max(1, of)) * 1e6))
 
-    wanted = some(known.where("label = 1"), positives, toxic).unionByName(some(known.where("label = 0"), unlabelled, n - toxic))
+    wanted = some(known.where("label = 1"), positives, toxic).unionByName(some(known.where("label = 0"), positives, n - toxic))
     # kinds: 1 confirmed toxic, 0 confirmed clean (for the prior alone), -1 unlabelled
-    sample = learn.join(wanted, "doc_id").select("text", F.col("label").cast("int").alias("kind")).unionByName(some(learn, unlabelled, docs.count()).select("text", F.lit(-1).alias("kind")))
+    sample = learn.join(F.broadcast(wanted), "doc_id").select("text", F.col("label").cast("int").alias("kind")).unionByName(some(learn, unlabelled, docs.count()).select("text", F.lit(-1).alias("kind")))
     sample = _one_of_each_group(sample)
     sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(-1, 0)
@@ -154,16 +155,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     if not n_p or not n_u or prior == 1:
         return Model(prior)
     # the shares of both kinds that were sampled differ by what their bounds cut off
-    cut_p, cut_n = min(1.0, positives / toxic), min(1.0, unlabelled / (n - toxic))
+    cut_p, cut_n = min(1.0, positives / toxic), min(1.0, positives / (n - toxic))
     prior = (n_p / cut_p) / (n_p / cut_p + sizes.get(0, 0) / cut_n)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["f", "p", "u"])
+
+        counts: dict[str, list[int]] = {}
         for batch in slices(batches, 1024):
-            counts: dict[str, list[int]] = {}
             for t, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
                 for f in forms(t):
                     counts.setdefault(f, [0, 0])[0 if kind == 1 else 1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["f", "p", "u"])
+            if len(counts) > 500_000:
+                yield rows(counts)
+                counts = {}
+        yield rows(counts)
 
     counts = sample.where("kind <> 0").mapInArrow(explode, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     p, u = F.col("p") / n_p, F.col("u") / n_u
