@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import audio, decontaminate, near_dup, piece_bpe, pii, quality, token_files, toxicity, warc
+from quillmill.llm import audio, decontaminate, hpylm, near_dup, piece_bpe, pii, quality, token_files, toxicity, warc
 from quillmill.llm.common import written
 
 
@@ -48,6 +48,11 @@ def op4_bit_packed(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return token_files.round_trip(_documents(spark, sf_dir), tokenizer_path or _vocabulary("byte_bpe_50k.json"), 2)
 
 
+def op5_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by the hierarchical Pitman-Yor model and by the smoothed unigram base."""
+    return hpylm.score(_documents(spark, sf_dir))
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Encode every text, decode its ids, and digest both."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -85,6 +90,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_audio": op3_audio,
     "op4_bit_packed": op4_bit_packed,
+    "op5_hpylm": op5_hpylm,
     "op6_piece_bpe": op6_piece_bpe,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
