@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Positions that count, within a span of eight tokens.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 4, 5, 7))
+#: Test tables of up to so many rows are broadcast; larger ones are joined by a shuffle of the hits.
+BROADCAST_ROWS = 200_000
 #: 64-bit words of the bit map: 2 ** 15, so that three positions of 21 bits come from one hash.
 MAP_BITS = 15
 
@@ -78,10 +80,13 @@ def overlaps(
 ) -> DataFrame:
     """One row for each contaminated (document, item): the best stretch and where it starts, in tokens."""
     span = 1 + max(map(max, MASKS))
-    test = items.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text)).alias("item_h"))
-    test_seeds = test.select("item_id", "item_h", F.explode_outer(_seeds(F.col("item_h"))).alias("s")).where("s is not null")
-    test_seeds = test_seeds.select("item_id", "item_h", F.col("s.seed").alias("seed"), F.col("s.at").alias("q"))
+    test = items.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text)).alias("item_h")).withColumn("item_key", F.xxhash64("item_id", "item_h"))
+    test = test.dropDuplicates(["item_key"])
+    test_seeds = test.select("item_key", F.explode_outer(_seeds(F.col("item_h"))).alias("s")).where("s is not null")
+    test_seeds = test_seeds.select("item_key", F.col("s.seed").alias("seed"), F.col("s.at").alias("q"))
     bits = _bit_map(test_seeds.select("seed"))
+    few = test_seeds.count() <= BROADCAST_ROWS
+    sized = F.broadcast if few else lambda x: x.hint("merge")
 
     def known(x: Column) -> Column:
         hit = None
@@ -97,7 +102,7 @@ def overlaps(
         .where("s is not null")
         .select("doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("p"), F.slice("h", F.greatest(F.lit(1), F.col("s.at") + 1 - reach), F.lit(span + 2 * reach)).alias("near"))
     )
-    pairs = hits.join(test_seeds, "seed").withColumn("first", F.greatest(F.lit(0), F.col("p") - reach))
+    pairs = hits.join(sized(test_seeds), "seed").join(sized(test), "item_key").withColumn("first", F.greatest(F.lit(0), F.col("p") - reach))
     at = F.col("p") - F.col("q")
     low, high = F.greatest(F.lit(0), F.col("q") - reach), F.least(F.size("item_h") - 1, F.col("q") + span - 1 + reach)
     equal = F.transform(F.sequence(low, high), lambda j: F.coalesce(F.when(at + j >= F.col("first"), F.get("near", at + j - F.col("first"))) == F.get("item_h", j), F.lit(False)))
