@@ -44,6 +44,14 @@ def written(df: DataFrame, what: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI (file, hdfs, s3, gs) and the path in it."""
     from pyarrow import fs

@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmill.llm.common import slices, written
+from quillmill.llm.common import discard, slices, written
 
 SHAPES = 5
 BURN_IN, SAMPLES, CONCENTRATION, SEED = 1, 3, 1.0, 11
@@ -153,7 +154,13 @@ def _totals(state: DataFrame) -> dict[str, float]:
 
 
 def _sweep(state: DataFrame, totals: dict, d_leaf: float, d_root: float, known: int, number: int) -> DataFrame:
-    """One pass: t0.. are the tables of the contexts, q the customers and r the tables of the parent."""
+    """One pass: t0.. are the tables of the contexts, q the customers and r the tables of the parent.
+
+    After the burn-in the new seats are also kept in a column of their own (x0, x1, ...).
+    """
+    kept = [c for c in state.columns if c[0] == "x"]
+    seats = T.StructType([T.StructField(c, T.IntegerType()) for c in (*(f"t{k}" for k in range(SHAPES)), "r", "q")])
+    out = state.schema if number < BURN_IN else T.StructType([*state.schema.fields, T.StructField(f"x{number - BURN_IN}", seats)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 65536):
@@ -168,9 +175,12 @@ def _sweep(state: DataFrame, totals: dict, d_leaf: float, d_root: float, known:
             t = [seat(c[k], p, totals[f"t{k}"], d_leaf, rng) for k in range(SHAPES)]
             q = sum(t)
             r = seat(q, np.full(len(q), 1.0 / (known + 1)), totals["r"], d_root, rng)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), *map(pa.array, c), *map(pa.array, t), pa.array(r), pa.array(q)], names=batch.schema.names)
+            cols = [batch.column("word"), *map(pa.array, c), *map(pa.array, t), pa.array(r), pa.array(q), *(batch.column(x) for x in kept)]
+            if number >= BURN_IN:
+                cols.append(pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (*t, r, q)], names=seats.names))
+            yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapInArrow(run, out)
 
 
 def root(q, r, totals: dict, d: float, known: int):
@@ -198,14 +208,15 @@ class Model:
         facts = state.agg(F.count(F.lit(1)).alias("known"), F.sum(n).alias("tokens"), F.count_if(F.col("q") == 1).alias("r1"), F.count_if(F.col("q") == 2).alias("r2"), times(1).alias("l1"), times(2).alias("l2")).first()
         self.known, self.tokens = facts["known"], facts["tokens"] or 0
         self.d_leaf, self.d_root = _discount(facts["l1"], facts["l2"]), _discount(facts["r1"], facts["r2"])
-        self.samples, self.totals = [], []
+        self.totals = []
         totals = {k: v or 0 for k, v in _totals(state).items()}
         for sweep in range(BURN_IN + SAMPLES):
-            state = written(_sweep(state, totals, self.d_leaf, self.d_root, self.known, sweep), "seats")
+            before, state = state, written(_sweep(state, totals, self.d_leaf, self.d_root, self.known, sweep), "seats")
+            discard(before)
             totals = {k: v or 0 for k, v in _totals(state).items()}
             if sweep >= BURN_IN:
-                self.samples.append(state)
                 self.totals.append(totals)
+        self.seats = state
 
     def backoff(self) -> np.ndarray:
         """The weight of the parent in each context and sample."""
@@ -216,19 +227,9 @@ class Model:
         return np.array([root(0, 0, t, self.d_root, self.known) for t in self.totals])
 
     def answers(self) -> DataFrame:
-        """word, n (its count) and a blob: the part of each context, and the parent's probability in each sample.
-
-        The samples are tables with the same words; they are laid side by side by a grouping, since
-        they were written from each other without a shuffle but files may be split differently.
-        """
+        """word, n (its count) and a blob: the part of each context, and the parent's probability in each sample."""
         d_leaf, d_root, known, totals = self.d_leaf, self.d_root, self.known, self.totals
         keep = [f"c{k}" for k in range(SHAPES)]
-        each = None
-        for s, state in enumerate(self.samples):
-            cols = [F.col(f"t{k}").cast("int").alias(f"t{k}") for k in range(SHAPES)]
-            row = state.select("word", *keep, F.lit(s).alias("s"), F.struct(*cols, F.col("r").cast("int").alias("r"), F.col("q").cast("int").alias("q")).alias("x"))
-            each = row if each is None else each.unionByName(row)
-        sides = each.groupBy("word").agg(*(F.first(c).alias(c) for c in keep), *(F.max(F.when(F.col("s") == s, F.col("x"))).alias(f"x{s}") for s in range(len(self.samples))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 65536):
@@ -245,7 +246,7 @@ class Model:
                 packed = pa.Array.from_buffers(pa.binary(), len(blob), [None, offsets, pa.py_buffer(blob.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c.sum(axis=1)), packed], names=["word", "n", "blob"])
 
-        return sides.mapInArrow(run, "word string, n long, blob binary")
+        return self.seats.mapInArrow(run, "word string, n long, blob binary")
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
