@@ -41,7 +41,7 @@ def written(df: DataFrame, what: str, *by: str) -> DataFrame:
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
