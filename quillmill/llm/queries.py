@@ -67,7 +67,7 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str, model_path: str | None = Non
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_dup.near_duplicates(_documents(spark, sf_dir))
+    return near_dup.near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def edited(rng, words, n):
 # ---- near duplicates
 
 
-def brute_groups(docs):
+def brute_groups(docs, percent=85):
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
@@ -42,7 +42,7 @@ def brute_groups(docs):
     for k, s in enumerate(sets):
         shared = collections.Counter(j for x in s for j in where[x])
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(k)] = find(j)
         for x in s:
             where[x].append(k)
@@ -72,10 +72,11 @@ def copies():
     return docs
 
 
-def test_near_duplicates_equal_brute_force(spark, copies):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, copies, percent):
     df = spark.createDataFrame([(*d, 1) for d in copies], "doc_id long, text string, class int")
-    want = brute_groups(copies)
-    got = near_dup.near_duplicates(df).collect()
+    want = brute_groups(copies, percent)
+    got = near_dup.near_duplicates(df, percent=percent).collect()
     assert len(got) == len(copies)
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
@@ -298,7 +299,7 @@ def test_pipeline(spark):
     assert np.mean([d in kept for d, q in labels.items() if q]) > 0.97
     assert np.mean([d in kept for d, q in labels.items() if not q]) < 0.1
     one = {r["doc_id"] for r in stage["near_duplicates"](spark, docs, sf_dir).collect()}
-    assert one == {d for d, (_, least) in brute_groups(sorted(texts.items())).items() if d == least}
+    assert one == {d for d, (_, least) in brute_groups(sorted(texts.items()), 80).items() if d == least}
     clean = stage["decontamination"](spark, docs, sf_dir)
     items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {d for d, t in texts.items() if any(x in t for x in items)}
