@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmill.plans import catalog_queries, series_queries, text_queries, word_queries
+from quillmill.plans import catalog_queries, motion_queries, series_queries, text_queries, word_queries
 
-_MODULES = (text_queries, series_queries, catalog_queries, word_queries)
+_MODULES = (text_queries, series_queries, catalog_queries, word_queries, motion_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
