@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import decontaminate, near_dup, piece_bpe, pii, quality
-from quillmill.llm.common import written
+from quillmill.llm.common import sized, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,13 +22,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id, one."""
-    kept = written(near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    ids = kept.distinct()
-    one = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where("_kept is not null").count() == ids.where("_kept is not null").count():
-        return one  # no id repeats among the kept rows, so texts need not move once more
-    return one.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id, one.
+
+    Rows without an id stay, as nothing tells them apart.
+    """
+    groups = written(near_dup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "groups")
+    gone = written(groups.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+    left = docs.select(*COLUMNS).join(sized(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if groups.where("rows > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def written(df: DataFrame, what: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ids of up to so many rows (some tens of MB) are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked to be broadcast if it is counted to be small; larger ones are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -27,6 +27,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import sized, written
+
 #: Positions that count, within a span of eight tokens.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 4, 5, 7))
 #: Test tables of up to so many rows are broadcast; larger ones are joined by a shuffle of the hits.
@@ -86,7 +88,7 @@ def overlaps(
     test_seeds = test_seeds.select("item_key", F.col("s.seed").alias("seed"), F.col("s.at").alias("q"))
     bits = _bit_map(test_seeds.select("seed"))
     few = test_seeds.count() <= BROADCAST_ROWS
-    sized = F.broadcast if few else lambda x: x.hint("merge")
+    tests = F.broadcast if few else lambda x: x.hint("merge")
 
     def known(x: Column) -> Column:
         hit = None
@@ -102,7 +104,7 @@ def overlaps(
         .where("s is not null")
         .select("doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("p"), F.slice("h", F.greatest(F.lit(1), F.col("s.at") + 1 - reach), F.lit(span + 2 * reach)).alias("near"))
     )
-    pairs = hits.join(sized(test_seeds), "seed").join(sized(test), "item_key").withColumn("first", F.greatest(F.lit(0), F.col("p") - reach))
+    pairs = hits.join(tests(test_seeds), "seed").join(tests(test), "item_key").withColumn("first", F.greatest(F.lit(0), F.col("p") - reach))
     at = F.col("p") - F.col("q")
     low, high = F.greatest(F.lit(0), F.col("q") - reach), F.least(F.size("item_h") - 1, F.col("q") + span - 1 + reach)
     equal = F.transform(F.sequence(low, high), lambda j: F.coalesce(F.when(at + j >= F.col("first"), F.get("near", at + j - F.col("first"))) == F.get("item_h", j), F.lit(False)))
@@ -142,5 +144,5 @@ def _step(a: Column, same: Column) -> Column:
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that overlap with no item."""
-    found = overlaps(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_leaked")), "left_anti")
+    found = written(overlaps(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return docs.join(sized(found), F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_leaked")), "left_anti")

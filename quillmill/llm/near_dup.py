@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import slices, written
+from quillmill.llm.common import sized, slices, written
 
 SHINGLE, BANDS, ROWS = 5, 44, 7
 BINS = BANDS * ROWS
@@ -189,8 +189,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     """The pairs whose full sets are similar enough. Only texts with the ids of classes in pairs are made into sets."""
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     needed = written(needed.join(classes.select("class", "rep"), "class"), "needed")
-    ids = needed.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text")
+    ids = written(needed.select(F.col("rep").alias("_rep")).distinct(), "ids")
+    texts = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
