@@ -99,3 +99,27 @@ def cue_update(old: DataFrame, new: DataFrame, name: str, value: str) -> DataFra
     """New values win, others stay."""
     n = new.select(name, F.col(value).alias("_new"))
     return old.join(n, name, "full").select(name, F.coalesce("_new", value).alias(value))
+
+
+def matching_files(files: DataFrame, folder: str, word: str, path: str = "path") -> DataFrame:
+    """Sound files below a folder whose name holds a word as a whole token, those marked as legacy last."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    token = rf"(?<![a-z0-9])\Q{word.lower()}\E(?![a-z0-9])"
+    rows = files.where(F.lower(path).rlike(r"\.(wav|flac|ogg|mp3)$")).where(F.contains(F.lower(path), F.lit(folder.lower())) & name.rlike(token))
+    return rows.orderBy(F.contains(F.lower(path), F.lit("legacy")), path)
+
+
+def listed(index: DataFrame, files: DataFrame, on: str = "path") -> DataFrame:
+    """Index rows whose file is there."""
+    return index.join(files.select(on), on, "left_semi")
+
+
+def paged(pages: list[DataFrame], key: str) -> DataFrame:
+    """Rows of pages until one brings no key that was not seen, each key once."""
+    out = None
+    for page in pages:
+        new = page if out is None else page.join(out.select(key), key, "left_anti")
+        if out is not None and new.isEmpty():
+            break
+        out = new.dropDuplicates([key]) if out is None else out.unionByName(new.dropDuplicates([key]))
+    return out

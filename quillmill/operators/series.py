@@ -192,3 +192,60 @@ def spring(tau: Column, frequency: float, damping: float) -> Column:
     wd = w * (1 - z * z) ** 0.5
     rest = F.exp(-z * w * tau) * (F.cos(wd * tau) + z * w / wd * F.sin(wd * tau))
     return F.when(tau <= 0, 0.0).otherwise(1 - rest)
+
+
+def springs(df: DataFrame, changes: DataFrame, key: str, t: str, base: float, frequency: float, damping: float) -> DataFrame:
+    """Adds ``value``: ``base`` plus a spring from each target to the next, for changes (key, at, target).
+
+    A key has few changes; they are one array beside each row.
+    """
+    steps = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "target"))).alias("_steps"))
+    one = lambda s, i: (s["target"] - F.coalesce(F.get("_steps", i - 1)["target"], F.lit(base))) * spring(F.col(t) - s["at"], frequency, damping)
+    total = F.aggregate(F.transform(F.coalesce("_steps", F.array().cast("array<struct<at:double,target:double>>")), one), F.lit(base), lambda a, x: a + x)
+    return df.join(steps, key, "left").withColumn("value", total).drop("_steps")
+
+
+def resampled(df: DataFrame, key: str, order: list[str], x: str, y: str, step: float) -> DataFrame:
+    """Points every ``step`` along each line, from its first point on: each stretch of the line lists those that fall on it."""
+    w = _w(key, *order)
+    arcs = arc_length(df, key, order, x, y)
+    ends = arcs.select(key, x, y, F.col("arc").alias("_a"), F.lead("arc").over(w).alias("_b"), F.lead(x).over(w).alias("_x"), F.lead(y).over(w).alias("_y")).where("_b > _a")
+    first, last = F.ceil(F.col("_a") / step), F.ceil(F.col("_b") / step) - 1
+    marks = ends.withColumn("n", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    k = (F.col("n") * step - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    return marks.select(key, "n", (F.col(x) + (F.col("_x") - F.col(x)) * k).alias("x"), (F.col(y) + (F.col("_y") - F.col(y)) * k).alias("y"))
+
+
+def spline(df: DataFrame, key: str, order: list[str], x: str, y: str, pieces: int) -> DataFrame:
+    """Catmull-Rom points: ``pieces`` steps on each stretch between neighbours, the ends doubled."""
+    w = _w(key, *order)
+    p = df.withColumn("_n", F.row_number().over(w))
+    for c, name in ((x, "x"), (y, "y")):
+        p = p.withColumn(f"_{name}2", F.lead(c).over(w))
+        p = p.withColumn(f"_{name}0", F.coalesce(F.lag(c).over(w), F.col(c))).withColumn(f"_{name}3", F.coalesce(F.lead(c, 2).over(w), F.col(f"_{name}2")))
+    p = p.where("_x2 is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    u = F.col("k") / pieces
+
+    def at(c: str, name: str) -> Column:
+        a, b, d, e = F.col(f"_{name}0"), F.col(c), F.col(f"_{name}2"), F.col(f"_{name}3")
+        return 0.5 * (2 * b + (d - a) * u + (2 * a - 5 * b + 4 * d - e) * u * u + (3 * b - a - 3 * d + e) * u * u * u)
+
+    return p.select(key, F.col("_n").alias("stretch"), "k", at(x, "x").alias("x"), at(y, "y").alias("y"))
+
+
+def best_window(beats: DataFrame, key: str, t: str, drop: str, length: float, before: float) -> DataFrame:
+    """The start of a cut of ``length`` seconds that has the drop ``before`` seconds in, kept inside the track, and its beats."""
+    start = F.greatest(F.lit(0.0), F.least(F.col(drop) - before, F.col("duration") - length))
+    rows = beats.withColumn("start", start).where((F.col(t) >= F.col("start")) & (F.col(t) < F.col("start") + length))
+    return rows.groupBy(key, "start").agg(F.array_sort(F.collect_list(F.round(F.col(t) - F.col("start"), 6))).alias("beats"))
+
+
+def best_offset(candidates: DataFrame, keys: DataFrame, beats: DataFrame, near: float = 0.06, weight: float = 1.2) -> DataFrame:
+    """The candidate (offset, lift) with the largest lift plus ``weight`` times the share of key times that fall on a beat.
+
+    Key times and beats of one piece are a handful; they are arrays beside each candidate.
+    """
+    one = keys.agg(F.collect_list("t").alias("_keys")).crossJoin(beats.agg(F.collect_list("t").alias("_beats")))  # one row
+    rows = candidates.crossJoin(F.broadcast(one))
+    on = F.size(F.filter("_keys", lambda k: F.exists("_beats", lambda b: F.abs(b - (k + F.col("offset"))) <= near)))
+    return rows.withColumn("score", F.col("lift") + weight * on / F.greatest(F.size("_keys"), F.lit(1))).drop("_keys", "_beats").orderBy(F.desc("score"), "offset").limit(1)
