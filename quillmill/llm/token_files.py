@@ -38,7 +38,7 @@ from quillmill.llm.common import filesystem, fresh, text_of
 BLOCK_IDS = 8192
 MAGIC = b"QTOK"
 NO_ID = -(2**63)
-KEPT_STRINGS = 700_000
+KEPT_STRINGS = 550_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"  # White_Space in Unicode
 #: Letters up to a mark, digit, space or the end (which always end a pre-token), other strings without white space, white space.
