@@ -12,7 +12,7 @@ from quillmill.sources.tables import table
 
 def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources on one id: documents, pages and labels."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title"), F.col("lang").alias("label"), F.col("n_chars").alias("views"), F.array("lang", "source").alias("tags"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("lang").alias("label"), F.col("n_chars").alias("views"), F.array("lang", "source").alias("tags"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("title"), F.lit("").alias("label"), F.octet_length("html").cast("long").alias("views"), F.array(F.lit("page"), F.lit("en")).alias("tags"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("label "), F.col("quality").cast("string")).alias("label"), F.array(F.lit("labelled")).alias("tags"))
     merged = catalog.merge([("documents", docs), ("pages", pages), ("labels", labels)], "id", {"title": "first", "label": "last", "views": "max", "tags": "union"}, "id")
@@ -26,7 +26,7 @@ def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = catalog.search(docs, ["the", "and"], F.substring("text", 1, 60), F.col("text"), F.col("n_chars"), "doc_id", where=F.col("lang") == "en", limit=200)
+    found = catalog.search(docs, ["the", "and"], F.get(F.split("text", "\n"), 0), F.col("text"), F.col("n_chars"), "doc_id", where=F.col("lang") == "en", limit=200)
     return found.select("doc_id", F.col("tier").cast("int").alias("tier"), "n_chars")
 
 
@@ -59,7 +59,7 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (keyed_merge, merge_summary, ranked_search, label_facets, source_facets, page_cards, page_keys, number_formats)}
 
 _MERGED = """
-    a AS (SELECT doc_id AS id, 0 AS o, 'documents' AS src, substr(text, 1, 20) AS title, lang AS label, n_chars AS views, [lang, source] AS tags FROM documents
+    a AS (SELECT doc_id AS id, 0 AS o, 'documents' AS src, source || ' ' || lang AS title, lang AS label, n_chars AS views, [lang, source] AS tags FROM documents
           UNION ALL SELECT page_id, 1, 'pages', url, '', strlen(html), ['page', 'en'] FROM pages
           UNION ALL SELECT doc_id, 2, 'labels', NULL, 'label ' || quality, NULL, ['labelled'] FROM labels),
     m AS (SELECT id, arg_min(title, o) FILTER (title <> '') AS title, arg_max(label, o) FILTER (label <> '') AS label, max(views)::BIGINT AS views,
@@ -70,7 +70,7 @@ _LINKS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 ORACLE_SQL = {
     "keyed_merge": f"WITH {_MERGED} SELECT id, title, label, views, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS tags, sources FROM m",
     "merge_summary": f"WITH {_MERGED} SELECT count(*) AS records, count(*) FILTER (contains(sources, '|')) AS in_several, count(label) AS labelled FROM m",
-    "ranked_search": r"""WITH d AS (SELECT doc_id, n_chars, lower(substr(text, 1, 60)) AS d, lower(text) AS e FROM documents WHERE lang = 'en'),
+    "ranked_search": r"""WITH d AS (SELECT doc_id, n_chars, lower(string_split(text, chr(10))[1]) AS d, lower(text) AS e FROM documents WHERE lang = 'en'),
         f AS (SELECT doc_id, n_chars,
                      regexp_matches(d, '(^|[^0-9a-zÀ-ɏЀ-ӿ])the[\s_-]*and') AS pd, regexp_matches(e, '(^|[^0-9a-zÀ-ɏЀ-ӿ])the[\s_-]*and') AS pe,
                      regexp_matches(d, '(^|[^0-9a-zÀ-ɏЀ-ӿ])the') AND regexp_matches(d, '(^|[^0-9a-zÀ-ɏЀ-ӿ])and') AS wd FROM d

@@ -40,7 +40,7 @@ def name_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("user_id < 20").select("event_id", (F.col("n") / 7).alias("t"))
+    e = _events(spark, sf_dir).select("event_id", (F.col("n") / 7).alias("t"))
     return motion.drawing(e, [(1.0, 2.0, 3), (3.0, 4.0, 1)]).select("event_id", F.round("shown", 6).alias("shown"), F.col("drawing").cast("long").alias("drawing"))
 
 
@@ -58,7 +58,7 @@ ORACLE_SQL = {
         k AS (SELECT user_id, g, count(*) FILTER (value < 10) AS k FROM g GROUP BY ALL) SELECT user_id, round(max(k) * 0.05, 4)::DOUBLE AS gap FROM k GROUP BY user_id""",
     "loudest_rivals": """SELECT a.event_id, max(b.value) AS rival FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) >= 86400000000 GROUP BY a.event_id""",
     "name_seeds": f"SELECT DISTINCT source, {_FNV}::BIGINT AS seed FROM documents",
-    "held_drawings": f"""WITH {_N}, f AS (SELECT event_id, floor(n / 7 * 24 + 1e-6)::BIGINT AS f FROM n WHERE user_id < 20),
+    "held_drawings": f"""WITH {_N}, f AS (SELECT event_id, floor(n / 7 * 24 + 1e-6)::BIGINT AS f FROM n),
         s AS (SELECT * FROM (VALUES (0, 24, 2, 0), (24, 48, 3, 12), (48, 72, 2, 20), (72, 96, 1, 32), (96, 1073741824, 2, 56)) v(a, b, h, k))
         SELECT event_id, round((a + (f - a) // h * h) / 24, 6) AS shown, (k + (f - a) // h)::BIGINT AS drawing FROM f JOIN s ON f >= a AND f < b""",
 }

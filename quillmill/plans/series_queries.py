@@ -74,10 +74,10 @@ def nearest_view_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_outside_quiet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events outside the six hours after every signup of user 0 to 9."""
+    """Events outside the half hour after every signup of anybody."""
     e = _events(spark, sf_dir).withColumn("t", series.seconds("ts"))
-    quiet = e.where("event_type = 'signup' AND user_id < 10").select(F.col("t").alias("t0"), (F.col("t") + 21600).alias("t1"))
-    return series.in_intervals(e, quiet, "t", 21600.0, "left_anti").select("event_id", "user_id")
+    quiet = e.where("event_type = 'signup'").select(F.col("t").alias("t0"), (F.col("t") + 1800).alias("t1"))
+    return series.in_intervals(e, quiet, "t", 1800.0, "left_anti").select("event_id", "user_id")
 
 
 def session_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ ORACLE_SQL = {
         a AS (SELECT b.*, v.t AS after FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.t <= v.t),
         o AS (SELECT event_id, CASE WHEN after - t < t - before THEN after - t ELSE coalesce(before - t, after - t) END AS step FROM a)
         SELECT event_id, CASE WHEN abs(step) <= {DAY} THEN round(step, 6) END AS "offset" FROM o""",
-    "events_outside_quiet_windows": f"""WITH {_E} SELECT event_id, user_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e q WHERE q.event_type = 'signup' AND q.user_id < 10 AND e.t >= q.t AND e.t < q.t + 21600)""",
+    "events_outside_quiet_windows": f"""WITH {_E} SELECT event_id, user_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e q WHERE q.event_type = 'signup' AND e.t >= q.t AND e.t < q.t + 1800)""",
     "session_rhythm": f"""WITH {_E}, g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM e)
         SELECT user_id, count(gap) AS gaps, round(avg(gap), 3) AS mean_gap, round(min(gap), 3) AS min_gap, round(max(gap), 3) AS max_gap, round(stddev_pop(gap) / avg(gap), 3) AS cv FROM g WHERE gap IS NOT NULL GROUP BY user_id""",
     "adaptive_threshold": """WITH q AS (SELECT user_id, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.95) AS b FROM events GROUP BY user_id)

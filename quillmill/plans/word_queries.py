@@ -35,8 +35,7 @@ def phrase_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns cut into tokens of a space and up to three characters, and folded again."""
-    t = _turns(spark, sf_dir).where("turn < 2")
-    tokens = t.select(*TURN, F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), F.regexp_replace("text", r"\s+", " ")), F.lit(" ?[^ ]{1,3}"), F.lit(0))).alias("ord", "token"))
+    tokens = _turns(spark, sf_dir).select(*TURN, F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), F.regexp_replace("text", r"\s+", " ")), F.lit(" ?[^ ]{1,3}"), F.lit(0))).alias("ord", "token"))
     folded = wd.fold_tokens(tokens.withColumn("t", F.col("ord") * 0.1), TURN)
     return folded.groupBy(*TURN).agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.length("word")).alias("n_chars"))
 
@@ -47,11 +46,11 @@ def typing_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues that name words of the first turn, a time, and each other."""
-    first = _timed(spark, sf_dir).where("conv_id = 0 AND turn = 0").select("ord", "word", "t0")
-    start = first.orderBy("ord").limit(1).select(F.lit("start").alias("name"), F.concat(F.lit("word:"), wd.word_key(F.col("word")), F.lit(" + 0.5")).alias("ref"))
-    fixed = spark.createDataFrame([("intro", "1.25"), ("hit", "cue:intro + 2"), ("tail", "cue:hit - 0.25")], "name string, ref string")
-    return wd.resolve(start.unionByName(fixed), first).select("name", F.round("t", 3).alias("t"))
+    """Cues that name words of all turns laid end to end, a time, and each other."""
+    place = F.col("conv_id") * 1_000_000_000 + F.col("turn") * 1_000_000 + F.col("ord")
+    words = _timed(spark, sf_dir).select("word", place.alias("ord"), "t0")
+    cues = [("intro", "1.25"), ("hit", "cue:intro + 2"), ("tail", "cue:hit - 0.25"), ("word", "word:the + 0.5"), ("third", "word:the#3"), ("late", "cue:third + 1")]
+    return wd.resolve(spark.createDataFrame(cues, "name string, ref string"), words).select("name", F.round("t", 3).alias("t"))
 
 
 def captions_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +74,9 @@ _TURNS = rf"""
     w AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS ord FROM a)"""
 
 ORACLE_SQL = {
+    "resolved_cues": f"""WITH {_TURNS}, h AS (SELECT ord * 0.3 AS t, row_number() OVER (ORDER BY conv_id, turn, ord) AS n FROM w WHERE {_KEY.format('word')} = 'the')
+        SELECT * FROM (VALUES ('intro', 1.25::DOUBLE), ('hit', 3.25::DOUBLE), ('tail', 3.0::DOUBLE)) v(name, t)
+        UNION ALL SELECT 'word', round(t + 0.5, 3)::DOUBLE FROM h WHERE n = 1 UNION ALL SELECT 'third', round(t, 3)::DOUBLE FROM h WHERE n = 3 UNION ALL SELECT 'late', round(t + 1, 3)::DOUBLE FROM h WHERE n = 3""",
     "turn_words": f"WITH {_TURNS} SELECT conv_id, turn, len(ws)::BIGINT AS n_words, ws[-1] AS last_word FROM a WHERE len(ws) > 0",
     "nth_word_time": f"""WITH {_TURNS}, h AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) AS n FROM w WHERE {_KEY.format('word')} = 'the')
         SELECT conv_id, turn, ord, round(ord * 0.3, 3)::DOUBLE AS t0 FROM h WHERE n = 2""",
