@@ -284,8 +284,9 @@ def test_small_payloads_stay_responses(spark):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
-def test_op2_equals_duckdb(spark, sf):
+@pytest.mark.parametrize("name", ["op2_warc", "op7_minhash", "op10_spaced_seeds"])
+def test_equals_duckdb(spark, sf, name):
     from compare import connect, same
     from quillmill.llm import queries
 
-    same(queries.op2_warc(spark, sf), connect(sf), queries.ORACLE_SQL["op2_warc"])
+    same(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE_SQL[name])
