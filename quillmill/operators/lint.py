@@ -65,12 +65,12 @@ def structural_findings() -> dict[str, Column]:
     }
 
 
-def lexical_findings(text: str = "text", which: dict[str, tuple[str, ...]] | None = None) -> dict[str, Column]:
+def lexical_findings(text: str = "text", which: dict[str, tuple[str, ...]] | None = None, normed: Column | None = None) -> dict[str, Column]:
     """Hits of each pack, overlaps counted, and of the passive and participle rules.
 
     A test of one alternation for each pack goes first, so texts without any hit cost one pass a pack.
     """
-    n = tx.norm(F.coalesce(F.col(text), F.lit("")))
+    n = tx.norm(F.coalesce(F.col(text), F.lit(""))) if normed is None else normed
     out = {}
     for name, patterns in (packs.PACKS if which is None else which).items():
         every = reduce(lambda a, b: a + b, (F.regexp_count(n, F.lit(java(p))) for p in patterns))
@@ -121,10 +121,11 @@ def foreign_numbers(text: Column, source: Column) -> Column:
 
 def lint(df: DataFrame, text: str = "text", source: str | None = None, greeting: bool = False, max_words: int | None = None, min_score: int | None = None, lexical: bool = True) -> DataFrame:
     """Adds the counts of ``structure``, ``findings`` (category to number), ``penalty``, ``score`` and ``fail``."""
-    counts = structure(df, text)
+    # the normal form is a column of its own, so that hundreds of patterns share one
+    counts = structure(df.withColumn("norm__", tx.norm(F.coalesce(F.col(text), F.lit("")))), text)
     found = structural_findings()
     if lexical:
-        found |= lexical_findings(text) | {"transition": transitions(text)}
+        found |= lexical_findings(text, normed=F.col("norm__")) | {"transition": transitions(text)}
     if greeting:
         found["greeting"] = F.regexp_count(tx.norm(F.coalesce(F.col(text), F.lit(""))), F.lit(java(packs.GREETING)))
     if source is not None:
@@ -144,7 +145,7 @@ def lint(df: DataFrame, text: str = "text", source: str | None = None, greeting:
         fails.append((F.col("findings").getItem("foreign_number").isNotNull(), "numbers not in the source"))
     if min_score is not None:
         fails.append((F.col("score") < min_score, "score"))
-    return out.withColumn("fail", F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in fails))))
+    return out.withColumn("fail", F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in fails)))).drop("norm__")
 
 
 def hits(df: DataFrame, patterns: dict[str, tuple[str, ...]], key: str = "doc_id", text: str = "text", top: int = 12) -> DataFrame:
