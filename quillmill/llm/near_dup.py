@@ -6,13 +6,18 @@ the least hash of each; an empty bin borrows from bins drawn by a fixed hash seq
 filled, independently for each empty bin. Bands of ``ROWS`` bins are hashed to buckets.
 
 Documents with equal sets are one class from the start. In each bucket one class is the centre and
-the candidate pairs are a star from it to the others, so there are at most as many pairs as bucket
-members. The centre is the member that shares most buckets with others, as the text does that the
-others were copied from. Pairs are confirmed on the full sets. In buckets whose members are still in
-several components, further rounds of stars follow from members that were no centres yet (all
-members of buckets of up to ``SMALL``, else ``SLOTS`` of them) to the members of other components,
-until a round confirms no link. So a link is lost only if its two texts share no bucket, or if no
-round makes one of them a centre while links are still being found.
+the first candidate pairs are a star from it to the others, so there are at most as many pairs as
+bucket members. The centre is the member that shares most buckets with others, as the text does that
+the others were copied from. Pairs are confirmed on the full sets.
+
+Buckets whose members are then still in several components are looked at pair by pair: the members
+meet with a mark each, a bit map of their set and for larger sets the sketch, and all pairs of
+different components are compared in place, so only pairs that the marks let through move. The map
+gives a least size of the difference of two sets and so excludes no link. For each member the
+``BEST`` closest partners are confirmed, and buckets with more are looked at once more with the new
+components and a larger number, until no bucket holds back a pair. Buckets of over ``BLOCK`` members
+are cut into blocks and each two blocks meet. So a link is lost only if its two texts share no
+bucket or if their sketches exclude it (below).
 
 With 44 bands of 7 rows a pair with a similarity of 0.8 misses all buckets three times in 100,000, and
 one of 0.85 four times in 100 million.
@@ -32,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +45,9 @@ from quillmill.llm.common import sized, slices, written
 
 SHINGLE, BANDS, ROWS = 5, 44, 7
 BINS = BANDS * ROWS
-SMALL, SLOTS = 8, 2
+MARK_BITS, LARGE = 4096, 256
+#: Partners of a member in each pass; the last is over the members that can meet.
+BLOCK, BEST = 1024, (8, 128, 2048)
 KEPT_WORDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -185,9 +192,8 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only texts with the ids of classes in pairs are made into sets."""
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """class and its full set, for the classes in ``needed``. Only their texts are made into sets."""
     needed = written(needed.join(classes.select("class", "rep"), "class"), "needed")
     ids = written(needed.select(F.col("rep").alias("_rep")).distinct(), "ids")
     texts = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text")
@@ -199,7 +205,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
 
     # an id may stand for several texts: of these, the classes that are asked for
     sets = texts.mapInArrow(run, "class long, set array<long>").join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
-    sets = written(sets, "sets")
+    return written(sets, "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     a = sets.select(F.col("class").alias("a"), F.col("set").alias("a_set"))
     b = sets.select(F.col("class").alias("b"), F.col("set").alias("b_set"))
     same = F.size(F.array_intersect("a_set", "b_set"))
@@ -207,6 +221,118 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     return written(pairs.join(b, "b").join(a, "a").where(100 * same >= percent * whole).select("a", "b"), "links")
 
 
+# ---- all pairs of the buckets that are left
+
+
+def mark(s: np.ndarray) -> bytes:
+    """A bit map of a set, and its sketch where the set is large enough for it to exclude pairs."""
+    bits = np.zeros(MARK_BITS, np.uint8)
+    bits[(s & np.uint64(MARK_BITS - 1)).astype(np.int64)] = 1
+    out = np.packbits(bits).tobytes()
+    return out + (sketch(s) & np.uint64(0xFFFF)).astype("<u2").tobytes() if len(s) >= LARGE else out
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            marks = [mark(np.array(s, np.int64).view(np.uint64)) for s in batch.column("set").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(marks, pa.binary())], names=["class", "mark"])
+
+    return sets.select("class", "set").mapInArrow(run, "class long, mark binary")
+
+
+def _meeting(members: DataFrame, percent: int) -> DataFrame:
+    """Members of open buckets once for each two blocks that meet (x <= y); ``part`` is the member's own.
+
+    Blocks follow the components and sizes, so that blocks of one component or of unlike sizes need not meet.
+    """
+    small = members.where(F.col("m") <= BLOCK).select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "class", "n", "least")
+    large = members.where(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return small
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("least", "n", "class")) - 1
+    large = written(large.select("bucket", F.floor(place / BLOCK).cast("int").alias("part"), "class", "n", "least"), "blocks")
+    blocks = written(large.groupBy("bucket", "part").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.min("n").alias("few"), F.max("n").alias("many")), "ranges")
+    x, y = (blocks.select("bucket", F.col("part").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "few", "many"))) for k in "xy")
+    several = F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")
+    alike = (F.col("x_many") * 100 >= percent * F.col("y_few")) & (F.col("y_many") * 100 >= percent * F.col("x_few"))
+    met = x.join(y, "bucket").where((F.col("x") <= F.col("y")) & several & alike).select("bucket", "x", "y")
+    met = met.select("*", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    return small.unionByName(large.join(met, ["bucket", "part"]).select(*small.columns))
+
+
+def _block_pairs(part: np.ndarray, cls: np.ndarray, n: np.ndarray, least: np.ndarray, marks: list[bytes], percent: int, best: int) -> tuple[set[tuple[int, int]], bool]:
+    """Pairs of different components that the marks let through, the closest ``best`` of each member; and whether there were more."""
+    maps = np.frombuffer(b"".join(x[: MARK_BITS // 8] for x in marks), np.uint64).reshape(len(marks), -1)
+    sketches, many = None, np.flatnonzero(n >= LARGE)
+    if len(many) > 1:
+        sketches = np.zeros((len(n), BINS), np.uint16)
+        sketches[many] = np.frombuffer(b"".join(marks[i][MARK_BITS // 8 :] for i in many), "<u2").reshape(-1, BINS)
+    crossed = part[0] != part[-1] or (part != part[0]).any()
+    out, more = set(), False
+    for i in range(len(n)):
+        ok = (least != least[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
+        if crossed:
+            ok &= part != part[i]
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        both, apart = n[at] + n[i], np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        good = 100 * (both - apart) >= percent * (both + apart)
+        at, far = at[good], (apart / both)[good]
+        if sketches is not None and n[i] >= LARGE and len(at):
+            good = (n[at] < LARGE) | ((sketches[at] == sketches[i]).sum(axis=1) * 3 >= 2 * BINS)
+            at, far = at[good], far[good]
+        if len(at) > best:
+            more, at = True, at[np.argsort(far, kind="stable")[:best]]
+        out.update((min(cls[i], c), max(cls[i], c)) for c in cls[at].tolist())
+    return out, more
+
+
+def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
+    """Candidate pairs (a, b) of all buckets, and a row with ``bucket`` alone for each that holds back pairs."""
+    key = ["bucket", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def answer() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([t.column(k).to_numpy().astype(np.int64) for k in key])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            cols, marks = [t.column(c).to_numpy() for c in ("part", "class", "n", "least")], t.column("mark").to_pylist()
+            pairs, left = set(), set()
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
+                if hi - lo > 1:
+                    found, more = _block_pairs(*(c[lo:hi] for c in cols), marks[lo:hi], percent, best)
+                    pairs |= found
+                    if more:
+                        left.add(int(keys[0, lo]))
+            pairs, left = sorted(pairs), sorted(left)
+            none = [None] * len(left)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs] + none, pa.int64()), pa.array([p[1] for p in pairs] + none, pa.int64()), pa.array([None] * len(pairs) + left, pa.int64())], names=["a", "b", "bucket"])
+
+        for batch in slices(batches, 4096):
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_numpy() for k in key]
+            last = np.flatnonzero(np.any([i != i[-1] for i in ids], axis=0))
+            # whole groups are answered: those before the last one of the batch
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if not cut and held and any(held[-1].column(k)[-1].as_py() != i[0] for k, i in zip(key, ids, strict=True)):
+                yield answer()
+                held.clear()
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield answer()
+                held.clear()
+            held.append(batch.slice(cut))
+        if held:
+            yield answer()
+
+    return meeting.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, bucket long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row for each row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -220,31 +346,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = written(rows.join(crowded, "bucket").select("bucket", "class", "n", "m"), "buckets")
     fame = rows.groupBy("class").agg(F.sum("m").alias("fame"))
-    rows = written(rows.join(fame, "class").select("bucket", "class", "n", "fame", "m"), "buckets")
-
-    links, labels, first = None, None, True
-    while not rows.isEmpty():
-        labelled = rows.withColumn("least", F.col("class")) if labels is None else rows.join(labels, "class", "left").withColumn("least", F.coalesce("least", "class"))
-        if not first:  # buckets with members of several components
-            open_ = labelled.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
-            labelled = written(labelled.drop("m").join(open_, "bucket"), "buckets")
-        seat = F.when(F.col("m") <= SMALL, F.pmod(F.xxhash64("class"), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("class"), F.lit(SLOTS)))
-        centre = labelled.groupBy("bucket", (F.lit(0) if first else seat).alias("seat")).agg(F.max(F.struct("fame", F.negative("class").alias("x"), "class", "n", "least")).alias("c"))
-        centre = written(centre.select("bucket", F.col("c.class").alias("a"), F.col("c.n").alias("a_n"), F.col("c.least").alias("a_least")), "centres")
-        member = labelled.select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("least").alias("b_least"))
-        pairs = member.join(centre, "bucket").where((F.col("a_least") != F.col("b_least")) & (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = classes.select("class", "n", "sketch")
-        close = pairs.join(side.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
-        close = close.join(side.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
-        close = written(_similar_sketches(close), "candidates")
-        found = _confirmed(close, docs, classes, percent)
-        if found.isEmpty():
+    rows = written(rows.join(fame, "class").select("bucket", "class", "n", "fame"), "buckets")
+
+    centre = rows.groupBy("bucket").agg(F.max(F.struct("fame", F.negative("class").alias("x"), "class", "n")).alias("c"))
+    centre = written(centre.select("bucket", F.col("c.class").alias("a"), F.col("c.n").alias("a_n")), "centres")
+    pairs = rows.select("bucket", F.col("class").alias("b"), F.col("n").alias("b_n")).join(centre, "bucket")
+    pairs = pairs.where((F.col("a") != F.col("b")) & (F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = classes.select("class", "n", "sketch")
+    close = pairs.join(side.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
+    close = close.join(side.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
+    tested = written(_similar_sketches(close), "candidates")
+    links = _confirmed(tested, _sets(_ends(tested), docs, classes), percent)
+    labels = None if links.isEmpty() else components(links)
+
+    sets = None
+    for best in BEST:
+        labelled = rows.select("bucket", "class", "n")
+        labelled = labelled.withColumn("least", F.col("class")) if labels is None else labelled.join(labels, "class", "left").withColumn("least", F.coalesce("least", "class"))
+        # buckets with members of several components
+        open_ = labelled.groupBy("bucket").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
+        members = written(labelled.join(open_, "bucket"), "open")
+        if members.isEmpty():
+            break
+        if sets is None:
+            sets = _sets(members.select("class").distinct(), docs, classes)
+            marks = written(_marks(sets), "marks")
+        found = written(_open_pairs(_meeting(members, percent).join(marks, "class"), percent, best), "pairs")
+        close = written(found.where("bucket is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
+        if not close.isEmpty():
+            tested = tested.unionByName(close)
+            more = _confirmed(close, sets, percent)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
+        left = found.where("bucket is not null").select("bucket").distinct()
+        if left.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        rows = written(labelled.select("bucket", "class", "n", "fame", "m").join(centre.select("bucket", F.col("a").alias("class")), ["bucket", "class"], "left_anti"), "buckets")
-        first = False
+        rows = members.select("bucket", "class", "n").join(left, "bucket", "left_semi")
 
     named = classes.select("class", "rep")
     named = named.withColumn("least", F.col("class")) if labels is None else named.join(labels, "class", "left").withColumn("least", F.coalesce("least", "class"))

@@ -83,6 +83,31 @@ def test_near_duplicates_equal_brute_force(spark, copies, percent):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+@pytest.mark.parametrize("block", [None, 100])
+def test_near_copies_of_an_absent_text_equal_brute_force(spark, monkeypatch, block):
+    if block:  # crowded buckets in blocks, and several passes
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "BEST", (1, 4, 2 * block))
+    rng = random.Random(1)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    docs = [(k, " ".join(edited(rng, base, rng.randint(2, 4)))) for k in range(800)]
+    want = {d: least for d, (_, least) in brute_groups(docs).items()}
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_marks_exclude_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for n, apart in ((40, 3), (200, 14), (255, 20)):
+        for _ in range(50):
+            s = rng.integers(0, 2**63, n + apart).astype(np.uint64)
+            a, b = np.unique(s[:n]), np.unique(s[apart:])
+            same = n - apart
+            assert 100 * same >= 80 * (n + apart)
+            pairs, more = near_dup._block_pairs(np.zeros(2, int), np.array([5, 4]), np.array([n, n]), np.array([5, 4]), [near_dup.mark(a), near_dup.mark(b)], 80, 8)
+            assert pairs == {(4, 5)} and not more
+
+
 def test_near_duplicates_odd_rows(spark):
     text = " ".join(WORDS[:30])
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (None, "alone in here with five"), (3, None)], "doc_id long, text string")
