@@ -48,7 +48,7 @@ BINS = BANDS * ROWS
 MARK_BITS, LARGE = 4096, 256
 #: Partners of a member in each pass; the last is over the members that can meet.
 BLOCK, BEST = 1024, (8, 128, 2048)
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
