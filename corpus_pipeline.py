@@ -22,16 +22,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat an id, one.
+    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat id and text, one.
 
-    Rows without an id stay, as nothing tells them apart.
+    Rows of one id with unlike texts are decided each by its own text. Rows without an id stay, as nothing tells them apart.
     """
-    groups = written(near_dup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "groups")
-    gone = written(groups.where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    left = docs.select(*COLUMNS).join(sized(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if groups.where("rows > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    docs = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    found = near_dup.near_duplicates(docs, carried=("_text",)).where("doc_id is not null")
+    groups = written(found.groupBy("doc_id", "_text").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "groups")
+    gone = written(groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text")), "gone")
+    left = docs.join(sized(gone), (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_gone_text")), "left_anti")
+    if not groups.where("rows > 1").isEmpty():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]).unionByName(left.where("doc_id is null"))
+    return left.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

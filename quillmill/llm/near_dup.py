@@ -129,8 +129,8 @@ FEATURES = T.StructType(
 )
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, size and class of the set, sketch (16 bits a bin) and buckets; null where the set is empty."""
+def features(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, size and class of the set, sketch (16 bits a bin) and buckets; null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -145,10 +145,10 @@ def features(docs: DataFrame) -> DataFrame:
                 cls.append(_class_of(s))
                 sk.append((k & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 bk.append(buckets(k).view(np.int64))
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), pa.array(bk, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *FEATURES.names])
+            arrays = [batch.column("doc_id"), *map(batch.column, carried), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), pa.array(bk, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *carried, *FEATURES.names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *FEATURES.fields]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *FEATURES.fields]))
 
 
 def _similar_sketches(pairs: DataFrame) -> DataFrame:
@@ -333,10 +333,10 @@ def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
     return meeting.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, bucket long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row for each row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    facts = written(features(docs), "features")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carried``, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row for each row."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+    facts = written(features(docs, carried), "features")
     # any member's sketch and buckets will do, as they are made from the set alone
     classes = written(
         facts.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")),
@@ -390,6 +390,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = written(named, "named")
     groups = named.groupBy("least").agg(F.min("rep").alias("component_id"))
     of_class = named.join(groups, "least").select("class", "component_id")
-    out = facts.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    out = facts.select("doc_id", *carried, "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", *carried, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -335,3 +335,16 @@ def test_pipeline(spark):
     out = cp.run(spark, sf_dir)
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and set(ids) <= kept & (set(texts) - leaked)
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    a, b, c = ([rng.choice(WORDS) for _ in range(200)] for _ in range(3))
+    rows = [(1, a), (5, edited(rng, a, 1)), (5, b), (5, b), (7, c), (7, [*c[:100], *b[:100]]), (None, a)]
+    docs = spark.createDataFrame([(d, " ".join(w), "en", "s", 1) for d, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (5, b), (7, c), (7, rows[5][1]), (None, a)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(((d, " ".join(w)) for d, w in want), key=str)
