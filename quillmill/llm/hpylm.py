@@ -6,11 +6,12 @@ word before (beginning or end of a sentence, other marks, symbols, short, longer
 each whole word before would move several times the corpus between executors, as most pairs of
 words are seen once (README).
 
-Counts are gathered from all training texts. A Gibbs sweep takes the customers of a word out of all
-restaurants and seats them again, one by one, at old or new tables, given the tables of all other
-words as the last sweep left them; every new table sends a customer to the parent, where the word is
+Counts are gathered from all training texts. A sweep after the manner of Gibbs seats the customers of
+a word anew, one by one, at old or new tables, given the tables that the last sweep left; every new table sends a customer to the parent, where the word is
 seated the same way. Customers beyond the 32nd of a word and restaurant are seated in blocks that
-double, with the chance of a new table held within a block. Words are seated independently given the
+double, with the chance of a new table held within a block. The seating is approximate: the parent's
+probabilities of a word are those of the last sweep, with the word's own customers and tables still
+counted, and are held while all contexts are seated, so rare words open new tables too often. Words are seated independently given the
 restaurants' totals, so a sweep is one pass over the vocabulary without a shuffle. The discounts come
 from the counts of words seen once and twice. Predictive probabilities are averaged over the samples
 after the burn-in.
