@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,3 +88,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def releasing(rows: Iterator[pa.RecordBatch], *forget: Callable[[], object]) -> Iterator[pa.RecordBatch]:
+    """``rows``, and at their end (or when the task fails) the worker's tables are cleared and its free memory goes back to the system.
+
+    Python workers outlive their tasks and wait for others, so what a module keeps would stand beside the JVM of all later stages.
+    """
+    try:
+        yield from rows
+    finally:
+        for f in forget:
+            f()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import sized, slices, written
+from quillmill.llm.common import releasing, sized, slices, written
 
 SHINGLE, BANDS, ROWS = 5, 44, 7
 BINS = BANDS * ROWS
@@ -65,6 +65,11 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def forget() -> None:
+    """Empty the worker's table of word hashes."""
+    _words.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -148,7 +153,7 @@ def features(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             arrays = [batch.column("doc_id"), *map(batch.column, carried), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), pa.array(bk, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *carried, *FEATURES.names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *FEATURES.fields]))
+    return docs.mapInArrow(lambda batches: releasing(run(batches), forget), T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *FEATURES.fields]))
 
 
 def _similar_sketches(pairs: DataFrame) -> DataFrame:
@@ -167,7 +172,7 @@ def _similar_sketches(pairs: DataFrame) -> DataFrame:
             good = small | ((a == b).sum(axis=1) * 3 >= 2 * BINS)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lambda batches: releasing(run(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "set"])
 
     # an id may stand for several texts: of these, the classes that are asked for
-    sets = texts.mapInArrow(run, "class long, set array<long>").join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    sets = texts.mapInArrow(lambda batches: releasing(run(batches), forget), "class long, set array<long>").join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
     return written(sets, "sets")
 
 
@@ -238,7 +243,7 @@ def _marks(sets: DataFrame) -> DataFrame:
             marks = [mark(np.array(s, np.int64).view(np.uint64)) for s in batch.column("set").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(marks, pa.binary())], names=["class", "mark"])
 
-    return sets.select("class", "set").mapInArrow(run, "class long, mark binary")
+    return sets.select("class", "set").mapInArrow(lambda batches: releasing(run(batches)), "class long, mark binary")
 
 
 def _meeting(members: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +335,7 @@ def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
         if held:
             yield answer()
 
-    return meeting.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, bucket long")
+    return meeting.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: releasing(run(batches)), "a long, b long, bucket long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmill.llm.common import slices
+from quillmill.llm.common import releasing, slices
 
 MARK = "▁"
-#: Rows that one worker keeps in its table of encoded strings.
-KEPT_WORDS = 400_000
+#: Strings and pairs that one worker keeps in its tables while a task runs (about 60 and 25 MB).
+KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
 
 
 class PieceModel:
@@ -111,7 +111,7 @@ class PrefixTableEncoder:
         key = left << 32 | right
         ok = self.pair.get(key)
         if ok is None:
-            if len(self.pair) >= 1_500_000:
+            if len(self.pair) >= KEPT_PAIRS:
                 self.pair.clear()
             edges, rank = self.edge, self.model.rank
             if (a := edges.get((left, 1))) is None:
@@ -240,6 +240,12 @@ def encoder(path: str) -> PrefixTableEncoder:
     return PrefixTableEncoder(path)
 
 
+def forget(path: str) -> None:
+    """Empty the tables that the worker's encoder has filled; the vocabulary and its automaton stay."""
+    enc = encoder(path)
+    enc.words.clear(), enc.pair.clear(), enc.edge.clear()
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of its text (end id last) and, if ``decoded`` names a column, those ids decoded again."""
     out = T.StructType([f for f in df.schema.fields if f.name not in (ids, decoded)])
@@ -257,7 +263,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                 cols.append(pa.array([enc.decode(x) for x in got], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=keep + [ids] + ([decoded] if decoded else []))
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: releasing(run(batches), lambda: forget(model_path)), out)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -271,4 +277,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
             got = pa.array([enc.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [got], names=[*keep, text])
 
-    return df.mapInArrow(run, out.add(text, T.StringType()))
+    return df.mapInArrow(lambda batches: releasing(run(batches), lambda: forget(model_path)), out.add(text, T.StringType()))
