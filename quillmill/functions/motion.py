@@ -14,6 +14,21 @@ def mul32(a: Column, b: int) -> Column:
     return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(MASK))
 
 
+def times32(a: Column, b: Column) -> Column:
+    """The low 32 bits of the product of two unsigned 32-bit columns."""
+    low, high = a * b.bitwiseAND(F.lit(0xFFFF)), (a * F.shiftrightunsigned(b, 16)).bitwiseAND(F.lit(0xFFFF))
+    return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(MASK))
+
+
+def uniform(seed: Column, n: Column) -> Column:
+    """The ``n``-th draw (from 1) of a seeded 32-bit generator, from 0 to 1, without the draws before it. The constants are fixed values."""
+    a = (seed.cast("long") + mul32(n.cast("long"), 0x6D2B79F5)).bitwiseAND(F.lit(MASK))
+    shifted = lambda x, k: x.bitwiseXOR(F.shiftrightunsigned(x, k))
+    r = times32(shifted(a, 15), a.bitwiseOR(F.lit(1)))
+    r = (r + times32(shifted(r, 7), r.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(r)
+    return shifted(r, 14) / F.lit(float(1 << 32))
+
+
 def name_seed(name: Column) -> Column:
     """FNV-1a over code points, as an unsigned 32-bit number."""
     return F.aggregate(
@@ -54,6 +69,51 @@ def looped(t: Column, length: float) -> Column:
     return F.pmod(t, F.lit(length))
 
 
+def cycle(t: Column, period: float, length: float) -> Column:
+    """The phase, 0 to 1, of a motion whose period is changed so that a whole number of cycles fits the length."""
+    n = max(1, int(length / period + 0.5))
+    return F.pmod(t, F.lit(length / n)) * n / length
+
+
+def warped(t: Column, start: Column, slow: float) -> Column:
+    """A time on a clock that runs ``slow`` times slower from ``start`` on."""
+    return start + (t - start) / slow
+
+
+def db_to_gain(x: Column) -> Column:
+    return F.pow(F.lit(10.0), x / 20)
+
+
+def rms(x: Column) -> Column:
+    """Root mean square of a group, never 0."""
+    return F.sqrt(F.avg(x * x)) + 1e-12
+
+
+def pan(x: Column) -> Column:
+    """Gains of the left and right channel of equal power for a place from -1 to 1."""
+    angle = (x + 1) * (3.141592653589793 / 4)
+    return F.struct(F.cos(angle).alias("left"), F.sin(angle).alias("right"))
+
+
+def sub_times(t: Column, fps: float, pieces: int, cuts: list[float] = (), shutter: float = 0.5) -> Column:
+    """Array of the times whose pictures make one blurred frame: around its own time, and never beyond a cut."""
+
+    def one(k: Column) -> Column:
+        at = t + ((k + 0.5) / pieces - 0.5) * (shutter / fps)
+        for c in cuts:
+            at = F.when((t < c) & (at >= c), F.lit(c - 1e-4)).when((t >= c) & (at < c), F.lit(c)).otherwise(at)
+        return at
+
+    return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), one)
+
+
+def boil(x: Column, y: Column, seed: Column, drawing: Column, amp: float = 2.3, scale: float = 70.0, drawings: int = 4) -> Column:
+    """A point moved by noise that is shared by all lines and drawn anew for each of ``drawings`` drawings. The constants are fixed values."""
+    field = lattice_hash(seed, F.pmod(drawing, F.lit(drawings)), F.lit(0x5EED))
+    shift = lambda dx, dy: amp * noise(x / scale + dx, y / scale + dy, field)
+    return F.struct((x + shift(0.0, 0.0)).alias("x"), (y + shift(41.3, -17.9)).alias("y"))
+
+
 def noise(x: Column, y: Column, seed: Column) -> Column:
     """Gradient noise of the plane, smooth, about -1 to 1."""
     ix, iy = F.floor(x).cast("long"), F.floor(y).cast("long")

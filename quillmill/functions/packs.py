@@ -376,3 +376,46 @@ PENALTY = {
     "foreign_number": 6,
     "english_prose": 3,
 }
+
+#: Patterns of the rules besides the packs, over the normal form.
+PASSIVE = r"\b(был|была|было|были)\s+([а-я]+(?:н|на|но|ны|т|та|то|ты))\b"
+PARTICIPLE = r"\b[а-я]{3,}(?:ующ|ющ|ащ|ящ|вш|енн|анн|янн)(?:ий|ая|ое|ые|его|ей|им|их|ими|ем|ую|ым|ых|ой|ому|ом)\b"
+PARTICIPLE_END = r"(ий|ая|ое|ые|его|ей|им|их|ими|ем|ую|ым|ых|ой|ому|ом)$"
+TRIAD = r"[а-яё«»\"\w-]+, [а-яё«»\"\w-]+ и [а-яё«»\"\w-]+"
+NOT_ONLY = r"не только .{2,60}?, но и"
+EMOJI = r"[\x{1F300}-\x{1FAFF}☀-➿]"
+NUMBER = r"[0-9][0-9 \x{A0}.,]*[0-9]|[0-9]"
+WORD = r"[а-яa-z0-9]+(?:[-.,][а-яa-z0-9]+)*"
+
+#: Limits of the rules: words of a sentence, dashes in a hundred words, share of Latin words, and the like.
+LONG_SENTENCE, DASH_RATE, LATIN_SHARE = 25, 4, 0.15
+MOST_BOLD, BOLD_UNDER, MOST_EMOJI, HEADER_UNDER, TRIAD_WORDS, PAREN_WORDS, SHOWN = 3, 400, 3, 200, 150, 100, 12
+
+#: Names of one category in several catalogues.
+CATEGORY_ALIASES = {
+    "stories": ("story",),
+    "story": ("story",),
+    "education": ("explainer",),
+    "explainer": ("explainer",),
+    "art3d": ("3d", "art"),
+    "3d": ("3d",),
+    "art": ("art",),
+    "motion": ("motion",),
+    "product": ("product",),
+    "production": ("production",),
+    "game": ("game",),
+    "interactive": ("interactive",),
+    "comparison": ("comparison",),
+}
+
+#: Rank of the qualities of a prompt, formats of an orientation, least views of a ratio sort, days a cache is fresh.
+QUALITY_RANK = {"full": 3, "brief": 2, "partial": 1}
+ORIENTATIONS = {"vertical": ("9:16", "4:5"), "portrait": ("9:16", "4:5"), "horizontal": ("16:9", "4:3"), "landscape": ("16:9", "4:3"), "square": ("1:1",)}
+RATIO_FLOOR, FRESH_DAYS, PAGE_DAYS = 5000, 14, 7
+
+#: Weights of the wait before a key, by the character before it and the character itself.
+TYPING = {"first": 1.4, "line": 4.0, "stop": 3.2, "comma": 2.2, "space": 1.6, "capital": 1.35, "before_space": 0.85}
+
+#: Captions and voice: characters of a caption, pauses in seconds, edges, and what inner pauses become.
+CAPTION = {"most": 42, "hard_gap": 0.4, "soft_gap": 0.25, "lead": 0.05, "tail": 0.15, "least": 0.7, "join": 0.3, "fast": 17.0}
+VOICE = {"gap": 0.28, "breath": 0.45, "sentence": 0.6, "tail": 0.05, "unheard": 0.3, "windows": (0.45, 0.3), "shortest": 0.04}

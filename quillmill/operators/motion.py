@@ -119,6 +119,43 @@ def drawing(df: DataFrame, schedule: list[tuple[float, float, int]], fps: float
     return df.withColumn("shown", shown).withColumn("drawing", number_)
 
 
+def colours_ok(streams: DataFrame, tags: str = "tags") -> DataFrame:
+    """Adds ``ok``: whether the colour tags of a stream are those that players agree on. Fixed values."""
+    want = {"pix_fmt": "yuv420p", "color_range": "tv", "color_space": "bt709", "color_primaries": "bt709", "color_transfer": "bt709"}
+    wanted = F.struct(*(F.lit(v).alias(k) for k, v in want.items()))
+    got = F.struct(*(F.col(f"{tags}.{k}").alias(k) for k in want))
+    return streams.withColumn("ok", got.eqNullSafe(wanted))
+
+
+def fast_by_profile(frames: DataFrame, key: str, fps: float, unit: float = 1.0, cuts: list[float] = (), blur: list[tuple[float, float]] = (), limit: float = 80.0, reach: int = 24) -> DataFrame:
+    """Spans in which the picture moves more than ``limit`` px a frame, by the shift of its profiles.
+
+    ``frames`` is (key, n, d, profiles): the difference to the frame before and an array of brightness
+    profiles. A shift counts if it explains the change: what is left is under 0.35 of the still
+    difference, which is over 0.8. Steps with hardly any change, pops, cuts and blurred stretches are aside.
+    """
+    w = W.partitionBy(key).orderBy("n")
+    rows = frames.withColumn("_before", F.lag("profiles").over(w)).withColumn("_around", (F.lag("d").over(w) + F.lead("d").over(w)) / 2)
+    rows = rows.withColumn("_inner", (F.row_number().over(w) > 2) & F.lead("d", 2).over(w).isNotNull()).withColumn("t", F.col("n") / fps)
+    near = F.exists(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: F.abs(F.col("t") - c) <= 2 / fps)
+    pop = F.col("_inner") & (F.col("d") > 4) & (F.col("d") > 3 * F.greatest("_around", F.lit(1.0)))
+    blurred = F.lit(False)
+    for a, b in blur:
+        blurred = blurred | F.col("t").between(a - 1 / fps, b + 1 / fps)
+    rows = rows.where(F.col("_before").isNotNull() & (F.col("d") >= 1) & ~near & ~F.coalesce(pop, F.lit(False)) & ~blurred)
+    shifts = F.zip_with("_before", "profiles", lambda a, b: mo.best_shift(a, b, reach))
+    real = F.filter(shifts, lambda s: (s["still"] > 0.8) & (s["residual"] < 0.35 * s["still"]))
+    rows = rows.withColumn("px", F.array_max(F.transform(real, lambda s: F.abs(s["shift"]) * unit))).where(F.col("px") > limit)
+    new = F.when(F.col("t") - F.lag("t").over(w) <= 1.5 / fps, 0).otherwise(1)
+    spans = rows.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w))
+    return spans.groupBy(key, "_s").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("px").alias("px")).drop("_s")
+
+
+def severest(lines: DataFrame, severity: str, *order: str, n: int = 12) -> DataFrame:
+    """The ``n`` severest lines of a report, and how many there are in all."""
+    return lines.orderBy(F.desc(severity), *order).limit(n).withColumn("in_all", lines.agg(F.count(F.lit(1))).scalar())
+
+
 # ---- levels
 
 
@@ -141,6 +178,54 @@ def momentary(energy: DataFrame, key: str, ms: str = "ms", value: str = "e", rea
     return energy.withColumn("level", 10 * F.log10(F.avg(value).over(w) + 1e-12))
 
 
+def momentary_gap(frames: DataFrame, key: str, ms: str = "ms", value: str = "e", hop: int = 50, reach: int = 400, under: float = -45.0, edge: float = 0.3) -> DataFrame:
+    """The longest stretch in seconds whose momentary loudness is under a level, the ends of a series aside.
+
+    ``frames`` hold the mean energy of one channel in short frames at ``ms``; every ``hop`` the mean of the ``reach``
+    milliseconds from there on is taken, as twice the energy of a channel with the loudness offset.
+    """
+    w = W.partitionBy(key).orderBy(ms)
+    rows = frames.withColumn("_l", -0.691 + 10 * F.log10(2 * F.avg(value).over(w.rangeBetween(0, reach - 1)) + 1e-20))
+    end = F.max(ms).over(W.partitionBy(key))
+    hops = rows.withColumn("_end", end).where((F.col(ms) % hop == 0) & (F.col(ms) < F.greatest(F.col("_end") - reach, F.lit(1))))
+    at = F.col(ms) / 1000 + 0.2
+    low = (F.col("_l") < under) & (at > edge) & (at < F.col("_end") / 1000 - edge)
+    return longest_gap(hops.withColumn("_q", F.when(low, -1.0).otherwise(1.0)), key, [ms], "_q", 0.0, hop / 1000)
+
+
+def spiky(events: DataFrame, peak: str = "peak", energy: str = "energy") -> DataFrame:
+    """Adds ``spiky``: whether the peak is over 12 dB above the loudest 400 ms of an event."""
+    return events.withColumn("spiky", 20 * F.log10(F.abs(F.col(peak)) + 1e-9) - 10 * F.log10(F.col(energy) + 1e-12) > 12)
+
+
+BANDS = (("sub", 20, 60), ("bass", 60, 250), ("lowmid", 250, 2000), ("presence", 2000, 5000), ("brilliance", 5000, 12000), ("air", 12000, 20000))
+
+
+def band_shares(spectrum: DataFrame, key: str, frequency: str = "f", power: str = "p") -> DataFrame:
+    """The share of each band in the energy from 20 Hz to 20 kHz, in percent, from rows of frequency and power."""
+    within = lambda lo, hi: F.sum(F.when((F.col(frequency) >= lo) & (F.col(frequency) < hi), F.col(power)).otherwise(0.0))
+    whole = F.sum(F.when(F.col(frequency).between(20, 20000), F.col(power)).otherwise(0.0)) + 1e-30
+    return spectrum.groupBy(key).agg(*((100 * within(lo, hi) / whole).alias(name) for name, lo, hi in BANDS))
+
+
+def low_band(spectrum: DataFrame, key: str, frame: str, frequency: str = "f", magnitude: str = "m", under: float = 150.0) -> DataFrame:
+    """The level of the lowest band in each frame, in dB, from rows of frequency and magnitude."""
+    return spectrum.groupBy(key, frame).agg((20 * F.log10(F.sum(F.when(F.col(frequency) < under, F.col(magnitude)).otherwise(0.0)) + 1e-9)).alias("low"))
+
+
+def local_floor(levels: DataFrame, events: DataFrame, key: str, t: str = "t", value: str = "db", reach: float = 1.5, share: float = 0.1) -> DataFrame:
+    """Each event (key, t, level) with the quiet percentile of the windows within ``reach`` seconds, and its lead over it.
+
+    Windows meet events in buckets of time as wide as the reach on both sides, so an event sees two buckets and no other.
+    """
+    width = 2 * reach
+    place = lambda x: F.floor(x / width)
+    asks = events.select(key, F.col(t).alias("_t"), "level", F.explode(F.array_distinct(F.array(place(F.greatest(F.lit(0.0), F.col(t) - reach)), place(F.col(t) + reach)))).alias("_b"))
+    near = asks.join(levels.select(key, t, value, place(F.col(t)).alias("_b")), [key, "_b"]).where((F.col(t) >= F.greatest(F.lit(0.0), F.col("_t") - reach)) & (F.col(t) < F.col("_t") + reach))
+    floors = near.groupBy(key, "_t", "level").agg(F.percentile(value, F.lit(share)).alias("floor"))
+    return floors.select(key, F.col("_t").alias(t), "level", "floor", (F.col("level") - F.col("floor")).alias("lead"))
+
+
 def rivals(events: DataFrame, key: str, apart: float = 0.3) -> DataFrame:
     """Adds ``rival``: the level of the loudest other event of the key at least ``apart`` seconds before or after, without forming pairs."""
     micros, step = F.round(F.col("t") * 1e6).cast("long"), int(apart * 1e6)
@@ -178,10 +263,17 @@ def duck(on: Column, depth: float, attack: float, release: float, hop: float = 0
     n = F.size(on)
     target = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.exists(F.slice(on, F.greatest(i + 1 - hold, F.lit(1)), F.least(i, F.lit(hold)) + 1 + ahead), lambda x: x), F.lit(float(depth))).otherwise(0.0))
     down, up = math.exp(-hop / (attack / 3)), math.exp(-hop / (release / 3))
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
+    # blocks, so that a long array isn't copied at every step
 
     def step(a: Column, x: Column) -> Column:
         g = x + (a["g"] - x) * F.when(x < a["g"], down).otherwise(up)
         return F.struct(g.alias("g"), F.array_append(a["out"], g).alias("out"))
 
-    return F.aggregate(target, start, step, lambda a: a["out"])
+    def block(a: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(a["g"].alias("g"), F.array().cast("array<double>").alias("out")), step)
+        return F.struct(done["g"].alias("g"), F.array_append(a["out"], done["out"]).alias("out"))
+
+    size = 256
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("int")), lambda b: F.slice(target, b * size + 1, F.lit(size)))
+    nested = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<array<double>>").alias("out"))
+    return F.flatten(F.aggregate(parts, nested, block, lambda a: a["out"]))

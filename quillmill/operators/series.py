@@ -178,6 +178,10 @@ def ease(kind: str, p: Column) -> Column:
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
     curves = {
         "linear": p,
+        "smooth": p * p * (3 - 2 * p),
+        "out5": 1 - F.pow(1 - p, 5),
+        "expo_out": F.when(p >= 1, 1.0).otherwise(1 - F.pow(F.lit(2.0), -10 * p)),
+        "in4": p * p * p * p,
         "in": p * p * p,
         "out": 1 - F.pow(1 - p, 3),
         "in_out": F.when(p < 0.5, 4 * p * p * p).otherwise(1 - F.pow(2 - 2 * p, 3) / 2),
@@ -194,6 +198,11 @@ def spring(tau: Column, frequency: float, damping: float) -> Column:
     return F.when(tau <= 0, 0.0).otherwise(1 - rest)
 
 
+def loop_changes(changes: DataFrame, length: float, at: str = "at") -> DataFrame:
+    """Changes and the same ones a loop earlier, so that what is still settling at the end is so at the start."""
+    return changes.withColumn(at, F.col(at) - length).unionByName(changes)
+
+
 def springs(df: DataFrame, changes: DataFrame, key: str, t: str, base: float, frequency: float, damping: float) -> DataFrame:
     """Adds ``value``: ``base`` plus a spring from each target to the next, for changes (key, at, target).
 
@@ -206,33 +215,85 @@ def springs(df: DataFrame, changes: DataFrame, key: str, t: str, base: float, fr
 
 
 def resampled(df: DataFrame, key: str, order: list[str], x: str, y: str, step: float) -> DataFrame:
-    """Points every ``step`` along each line, from its first point on: each stretch of the line lists those that fall on it."""
+    """Each line at even distances of about ``step``, both ends included: each stretch of the line lists the points that fall on it.
+
+    Lines of no length give no points.
+    """
     w = _w(key, *order)
-    arcs = arc_length(df, key, order, x, y)
-    ends = arcs.select(key, x, y, F.col("arc").alias("_a"), F.lead("arc").over(w).alias("_b"), F.lead(x).over(w).alias("_x"), F.lead(y).over(w).alias("_y")).where("_b > _a")
-    first, last = F.ceil(F.col("_a") / step), F.ceil(F.col("_b") / step) - 1
+    arcs = arc_length(df, key, order, x, y).withColumn("_all", F.max("arc").over(W.partitionBy(key)))
+    ends = arcs.select(key, x, y, "_all", F.col("arc").alias("_a"), F.lead("arc").over(w).alias("_b"), F.lead(x).over(w).alias("_x"), F.lead(y).over(w).alias("_y")).where("_b > _a")
+    count = F.greatest(F.lit(1), F.floor(F.col("_all") / step + 0.5))
+    # point n lies at n / count of the way; a stretch has those after its begin up to its end, and the start if it is the first
+    mark = lambda s: F.floor(s * count / F.col("_all") + 1e-9)
+    first, last = F.when(F.col("_a") > 0, mark(F.col("_a")) + 1).otherwise(0), mark(F.col("_b"))
     marks = ends.withColumn("n", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    k = (F.col("n") * step - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    k = (F.col("n") * F.col("_all") / count - F.col("_a")) / (F.col("_b") - F.col("_a"))
     return marks.select(key, "n", (F.col(x) + (F.col("_x") - F.col(x)) * k).alias("x"), (F.col(y) + (F.col("_y") - F.col(y)) * k).alias("y"))
 
 
-def spline(df: DataFrame, key: str, order: list[str], x: str, y: str, pieces: int) -> DataFrame:
-    """Catmull-Rom points: ``pieces`` steps on each stretch between neighbours, the ends doubled."""
+def prefix(df: DataFrame, key: str, order: list[str], x: str, y: str, share: float) -> DataFrame:
+    """The first ``share`` of each line by its length, the last point between two of its points."""
+    w = _w(key, *order)
+    arcs = arc_length(df, key, order, x, y).withColumn("_all", F.max("arc").over(W.partitionBy(key)))
+    cut = F.col("_all") * min(1.0, max(0.0, share))
+    rows = arcs.withColumn("_cut", cut).withColumn("_a", F.lag("arc").over(w)).withColumn("_x", F.lag(x).over(w)).withColumn("_y", F.lag(y).over(w))
+    rows = rows.where((F.col("arc") <= F.col("_cut")) | (F.col("_a") <= F.col("_cut")) | F.col("_a").isNull())
+    k = F.when((F.col("arc") <= F.col("_cut")) | F.col("_a").isNull(), F.lit(1.0)).otherwise((F.col("_cut") - F.col("_a")) / (F.col("arc") - F.col("_a")))
+    at = lambda c, before: F.when(k == 1, F.col(c)).otherwise(F.col(before) + (F.col(c) - F.col(before)) * k)
+    return rows.select(key, *order, at(x, "_x").alias("x"), at(y, "_y").alias("y"))
+
+
+def spline(df: DataFrame, key: str, order: list[str], x: str, y: str, step: float = 4.0) -> DataFrame:
+    """Catmull-Rom points about every ``step`` on each stretch between neighbours, the ends doubled, and the last point."""
     w = _w(key, *order)
     p = df.withColumn("_n", F.row_number().over(w))
     for c, name in ((x, "x"), (y, "y")):
         p = p.withColumn(f"_{name}2", F.lead(c).over(w))
         p = p.withColumn(f"_{name}0", F.coalesce(F.lag(c).over(w), F.col(c))).withColumn(f"_{name}3", F.coalesce(F.lead(c, 2).over(w), F.col(f"_{name}2")))
-    p = p.where("_x2 is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    u = F.col("k") / pieces
+    pieces = F.when(F.col("_x2").isNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.hypot(F.col("_x2") - F.col(x), F.col("_y2") - F.col(y)) / step).cast("int")))
+    p = p.withColumn("_m", pieces).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    u = F.col("k") / F.col("_m")
 
     def at(c: str, name: str) -> Column:
         a, b, d, e = F.col(f"_{name}0"), F.col(c), F.col(f"_{name}2"), F.col(f"_{name}3")
-        return 0.5 * (2 * b + (d - a) * u + (2 * a - 5 * b + 4 * d - e) * u * u + (3 * b - a - 3 * d + e) * u * u * u)
+        curve = 0.5 * (2 * b + (d - a) * u + (2 * a - 5 * b + 4 * d - e) * u * u + (3 * b - a - 3 * d + e) * u * u * u)
+        return F.when(d.isNull(), b).otherwise(curve)
 
     return p.select(key, F.col("_n").alias("stretch"), "k", at(x, "x").alias("x"), at(y, "y").alias("y"))
 
 
+def paced(df: DataFrame, key: str, order: str, x: str, y: str, slow: float = 9.0, most: float = 0.3, sigma: float = 7.0) -> DataFrame:
+    """Adds ``arc`` and ``tau``: the time by which a pen that slows into corners reaches each point of its line.
+
+    Time grows with the length and with the turning, which is smoothed by a Gaussian of ``sigma`` along
+    the line. The window is some points wide, and a row meets the rows inside it by their numbers.
+    """
+    w, whole = _w(key, order), W.partitionBy(key)
+    rows = arc_length(df, key, [order], x, y).withColumn("_n", F.row_number().over(w).cast("long"))
+    way = F.atan2(F.lead(y).over(w) - F.col(y), F.lead(x).over(w) - F.col(x)) - F.atan2(F.col(y) - F.lag(y).over(w), F.col(x) - F.lag(x).over(w))
+    rows = rows.withColumn("_turn", F.coalesce(F.abs(F.atan2(F.sin(way), F.cos(way))), F.lit(0.0)))
+    rows = rows.withColumn("_step", F.max("arc").over(whole) / F.greatest(F.count(F.lit(1)).over(whole) - 1, F.lit(1)))
+    rows = rows.withColumn("_step", F.when(F.col("_step") == 0, F.lit(1.0)).otherwise(F.col("_step"))).withColumn("_sg", F.greatest(F.lit(1e-3), sigma / F.col("_step")))
+    asks = rows.select(key, F.col("_n").alias("_i"), "_sg", F.explode(F.sequence(F.col("_n") - F.ceil(F.col("_sg") * 3), F.col("_n") + F.ceil(F.col("_sg") * 3))).alias("_n"))
+    g = F.exp(-F.pow(F.col("_n") - F.col("_i"), 2) / (2 * F.col("_sg") * F.col("_sg")))
+    smooth = asks.join(rows.select(key, "_n", "_turn"), [key, "_n"]).groupBy(key, F.col("_i").alias("_n")).agg((F.sum(F.col("_turn") * g) / F.sum(g)).alias("_bend"))
+    rows = rows.join(smooth, [key, "_n"])
+    step = (F.col("arc") - F.coalesce(F.lag("arc").over(w), F.col("arc"))) * (1 + slow * F.least(F.col("_bend") / F.col("_step"), F.lit(most)))
+    rows = rows.withColumn("_dt", step).withColumn("tau", F.sum("_dt").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.select(*df.columns, "arc", "tau")
+
+
+def reached(paced_: DataFrame, key: str, order: str, shares: list[float]) -> DataFrame:
+    """The share of its length that a pen has drawn after each share ``u`` of the time of its line."""
+    w, whole = _w(key, order), W.partitionBy(key)
+    ends = paced_.select(key, order, "arc", "tau", F.lead("arc").over(w).alias("_arc"), F.lead("tau").over(w).alias("_tau"), F.max("arc").over(whole).alias("_all"), F.max("tau").over(whole).alias("_time"))
+    asked = ends.where("_tau is not null").withColumn("u", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).withColumn("_x", F.col("u") * F.col("_time"))
+    # the last stretch that begins at or before the time
+    best = asked.where("tau <= _x").groupBy(key, "u").agg(F.max(F.struct("tau", order, "arc", "_arc", "_tau", "_all", "_x")).alias("b"))
+    k = (F.col("b._x") - F.col("b.tau")) / F.when(F.col("b._tau") == F.col("b.tau"), F.lit(1.0)).otherwise(F.col("b._tau") - F.col("b.tau"))
+    return best.select(key, "u", ((F.col("b.arc") + (F.col("b._arc") - F.col("b.arc")) * k) / F.when(F.col("b._all") == 0, F.lit(1.0)).otherwise(F.col("b._all"))).alias("share"))
+
+
 def best_window(beats: DataFrame, key: str, t: str, drop: str, length: float, before: float) -> DataFrame:
     """The start of a cut of ``length`` seconds that has the drop ``before`` seconds in, kept inside the track, and its beats."""
     start = F.greatest(F.lit(0.0), F.least(F.col(drop) - before, F.col("duration") - length))
@@ -240,12 +301,82 @@ def best_window(beats: DataFrame, key: str, t: str, drop: str, length: float, be
     return rows.groupBy(key, "start").agg(F.array_sort(F.collect_list(F.round(F.col(t) - F.col("start"), 6))).alias("beats"))
 
 
+MOST_KEYS = 10_000
+
+
 def best_offset(candidates: DataFrame, keys: DataFrame, beats: DataFrame, near: float = 0.06, weight: float = 1.2) -> DataFrame:
     """The candidate (offset, lift) with the largest lift plus ``weight`` times the share of key times that fall on a beat.
 
-    Key times and beats of one piece are a handful; they are arrays beside each candidate.
+    Key times are a sheet of at most ``MOST_KEYS``. Shifted by a candidate they meet beats in buckets of time as
+    wide as the tolerance, so each shifted time sees the beats of three buckets and no other.
+    """
+    width = near
+    times = sorted(r["t"] for r in keys.select("t").limit(MOST_KEYS + 1).collect())
+    if len(times) > MOST_KEYS:
+        raise ValueError("too many key times")
+    place = F.floor(F.col("_t") / width)
+    asked = candidates.withColumn("_k", F.explode(F.array(*map(F.lit, times)).cast("array<double>"))).withColumn("_t", F.col("_k") + F.col("offset"))
+    asked = asked.select("offset", "_k", "_t", F.explode(F.sequence(place - 1, place + 1)).alias("_b"))
+    hits = asked.join(beats.select(F.col("t").alias("_beat"), F.floor(F.col("t") / width).alias("_b")), "_b").where(F.abs(F.col("_beat") - F.col("_t")) < near)
+    on = hits.groupBy("offset").agg(F.countDistinct("_k").alias("_on"))
+    rows = candidates.join(on, "offset", "left").withColumn("score", F.col("lift") + weight * F.coalesce(F.col("_on"), F.lit(0)) / max(1, len(times)))
+    return rows.drop("_on").orderBy(F.desc("score"), "offset").limit(1)
+
+
+# ---- series in seconds
+
+
+def _micros(t: str) -> Column:
+    return F.round(F.col(t) * 1e6).cast("long")
+
+
+def section_lifts(levels: DataFrame, beats: DataFrame, key: str, t: str, value: str, reach: float = 4.0, top: int = 4, none: float = -120.0) -> DataFrame:
+    """The ``top`` beats with the largest rise of the mean level of the ``reach`` seconds from there on over those before, by time.
+
+    Beats nearer to an end of their series than ``reach`` are left out. Beats and levels are one sorted stream.
+    """
+    both = levels.select(key, t, F.col(value).alias("_v"), F.lit(False).alias("_beat")).unionByName(beats.select(key, t, F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_beat")))
+    both = both.withColumn("_at", _micros(t)).withColumn("_end", F.max(F.when(~F.col("_beat"), F.col(t))).over(W.partitionBy(key)))
+    w, width = W.partitionBy(key).orderBy("_at"), int(reach * 1e6)
+    after, before = F.avg("_v").over(w.rangeBetween(0, width - 1)), F.avg("_v").over(w.rangeBetween(-width, -1))
+    rows = both.withColumn("lift", F.coalesce(after, F.lit(none)) - F.coalesce(before, F.lit(none))).where(F.col("_beat") & F.col(t).between(F.lit(reach), F.col("_end") - reach))
+    best = rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("lift"), F.desc(t)))).where(F.col("_r") <= top)
+    return best.select(key, t, "lift", F.col("_r").alias("rank"), F.row_number().over(W.partitionBy(key).orderBy(t)).alias("place"))
+
+
+def steepest(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """The time of the largest rise from the row before; the first on ties."""
+    rows = df.withColumn("_rise", F.col(value) - F.lag(value).over(_w(key, t))).where("_rise is not null")
+    return rows.groupBy(key).agg(F.max(F.struct("_rise", F.negative(t).alias("n"))).alias("b")).select(key, F.negative("b.n").alias(t), F.col("b._rise").alias("rise"))
+
+
+def away_from(df: DataFrame, t: Column, cuts: list[float], reach: float) -> DataFrame:
+    """Rows that are farther than ``reach`` from every cut."""
+    near = F.exists(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: F.abs(t - c) <= reach)
+    return df.where(~near)
+
+
+def punch(frames: DataFrame, beats: DataFrame, key: str, t: str, amp: float, decay: float = 0.12, attack: float = 0.03) -> DataFrame:
+    """Adds ``bump``: what the last beat at or before each time still adds, a short rise and an exponential decay; 0 before the first."""
+    marked = as_of(frames, beats.withColumn("_last", F.col(t)), key, t, "_last", "_last")
+    since = F.col(t) - F.col("_last")
+    return marked.withColumn("bump", F.coalesce(amp * ease("out", since / attack) * F.exp(-since / decay), F.lit(0.0))).drop("_last")
+
+
+def camera(frames: DataFrame, keys: DataFrame, key: str, t: str = "t") -> DataFrame:
+    """Adds zoom, x and y for each time from camera keys (t, zoom, x, y): eased moves between neighbours, the zoom in logarithms.
+
+    Before the first key and after the last one their own values hold.
     """
-    one = keys.agg(F.collect_list("t").alias("_keys")).crossJoin(beats.agg(F.collect_list("t").alias("_beats")))  # one row
-    rows = candidates.crossJoin(F.broadcast(one))
-    on = F.size(F.filter("_keys", lambda k: F.exists("_beats", lambda b: F.abs(b - (k + F.col("offset"))) <= near)))
-    return rows.withColumn("score", F.col("lift") + weight * on / F.greatest(F.size("_keys"), F.lit(1))).drop("_keys", "_beats").orderBy(F.desc("score"), "offset").limit(1)
+    w = W.partitionBy(key).orderBy(t)
+    own = [F.col(c).alias(f"{c}0") for c in (t, "zoom", "x", "y")]
+    ahead = [F.coalesce(F.lead(c).over(w), F.col(c)).alias(f"{c}1") for c in (t, "zoom", "x", "y")]
+    moves = keys.select(key, F.col(t), F.struct(*own, *ahead).alias("_m"))
+    first = keys.groupBy(key).agg(F.min_by(F.struct(t, "zoom", "x", "y"), t).alias("f"))
+    still = F.struct(*(F.col(f"f.{c}").alias(f"{c}0") for c in (t, "zoom", "x", "y")), *(F.col(f"f.{c}").alias(f"{c}1") for c in (t, "zoom", "x", "y")))
+    moves = moves.unionByName(first.select(key, F.lit(-1e18).alias(t), still.alias("_m")))
+    rows = as_of(frames, moves, key, t, "_m", "_m")
+    m = lambda c: F.col(f"_m.{c}")
+    k = F.when(m(f"{t}1") == m(f"{t}0"), F.lit(1.0)).otherwise(ease("in_out", (F.col(t) - m(f"{t}0")) / (m(f"{t}1") - m(f"{t}0"))))
+    between = lambda a, b: a + (b - a) * k
+    return rows.withColumns({"zoom": F.exp(between(F.log(m("zoom0")), F.log(m("zoom1")))), "x": between(m("x0"), m("x1")), "y": between(m("y0"), m("y1"))}).drop("_m")
