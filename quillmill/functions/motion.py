@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 MASK = 0xFFFFFFFF
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, so that expressions that name it several times stay small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def mul32(a: Column, b: int) -> Column:
     """The low 32 bits of a product, in two halves so that 64 bits are enough."""
-    low, high = a * F.lit(b & 0xFFFF), (a * F.lit(b >> 16)).bitwiseAND(F.lit(0xFFFF))
-    return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(MASK))
+    low = lambda x: x * F.lit(b & 0xFFFF) + F.shiftleft((x * F.lit(b >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return let(a, lambda x: low(x).bitwiseAND(F.lit(MASK)))
 
 
 def times32(a: Column, b: Column) -> Column:
     """The low 32 bits of the product of two unsigned 32-bit columns."""
-    low, high = a * b.bitwiseAND(F.lit(0xFFFF)), (a * F.shiftrightunsigned(b, 16)).bitwiseAND(F.lit(0xFFFF))
-    return (low + F.shiftleft(high, 16)).bitwiseAND(F.lit(MASK))
+    whole = lambda x, y: x * y.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((x * F.shiftrightunsigned(y, 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return let(a, lambda x: let(b, lambda y: whole(x, y).bitwiseAND(F.lit(MASK))))
+
+
+def _mixed(value: Column, shift: int) -> Column:
+    return let(value, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, shift)))
 
 
 def uniform(seed: Column, n: Column) -> Column:
     """The ``n``-th draw (from 1) of a seeded 32-bit generator, from 0 to 1, without the draws before it. The constants are fixed values."""
-    a = (seed.cast("long") + mul32(n.cast("long"), 0x6D2B79F5)).bitwiseAND(F.lit(MASK))
-    shifted = lambda x, k: x.bitwiseXOR(F.shiftrightunsigned(x, k))
-    r = times32(shifted(a, 15), a.bitwiseOR(F.lit(1)))
-    r = (r + times32(shifted(r, 7), r.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(r)
-    return shifted(r, 14) / F.lit(float(1 << 32))
+    first = lambda a: times32(_mixed(a, 15), a.bitwiseOR(F.lit(1)))
+    second = lambda r: (r + times32(_mixed(r, 7), r.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(MASK)).bitwiseXOR(r)
+    start = (seed.cast("long") + mul32(n.cast("long"), 0x6D2B79F5)).bitwiseAND(F.lit(MASK))
+    return _mixed(let(let(start, first), second), 14) / F.lit(float(1 << 32))
 
 
 def name_seed(name: Column) -> Column:
@@ -43,8 +51,8 @@ def lattice_hash(x: Column, y: Column, seed: Column) -> Column:
     u = lambda c: c.cast("long").bitwiseAND(F.lit(MASK))
     h = u(seed).bitwiseXOR(mul32(u(x), 0x27D4EB2D)).bitwiseXOR(mul32(u(y), 0x165667B1))
     for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
-        h = mul32(h.bitwiseXOR(F.shiftrightunsigned(h, shift)), factor)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 15))
+        h = mul32(_mixed(h, shift), factor)
+    return _mixed(h, 15)
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -110,22 +118,26 @@ def sub_times(t: Column, fps: float, pieces: int, cuts: list[float] = (), shutte
 def boil(x: Column, y: Column, seed: Column, drawing: Column, amp: float = 2.3, scale: float = 70.0, drawings: int = 4) -> Column:
     """A point moved by noise that is shared by all lines and drawn anew for each of ``drawings`` drawings. The constants are fixed values."""
     field = lattice_hash(seed, F.pmod(drawing, F.lit(drawings)), F.lit(0x5EED))
-    shift = lambda dx, dy: amp * noise(x / scale + dx, y / scale + dy, field)
-    return F.struct((x + shift(0.0, 0.0)).alias("x"), (y + shift(41.3, -17.9)).alias("y"))
+    shift = lambda f, dx, dy: amp * noise(x / scale + dx, y / scale + dy, f)
+    return let(field, lambda f: F.struct((x + shift(f, 0.0, 0.0)).alias("x"), (y + shift(f, 41.3, -17.9)).alias("y")))
 
 
 def noise(x: Column, y: Column, seed: Column) -> Column:
-    """Gradient noise of the plane, smooth, about -1 to 1."""
-    ix, iy = F.floor(x).cast("long"), F.floor(y).cast("long")
-    fx, fy = x - ix, y - iy
+    """Gradient noise of the plane, smooth, about -1 to 1. The constants are fixed values."""
     fade = lambda k: k * k * k * (k * (k * 6 - 15) + 10)
 
-    def corner(i: int, j: int) -> Column:
-        angle = lattice_hash(ix + i, iy + j, seed) * F.lit(2 * 3.141592653589793 / 2**32)
-        return F.cos(angle) * (fx - i) + F.sin(angle) * (fy - j)
+    def at(p: Column) -> Column:
+        ix, iy, fx, fy = p["ix"], p["iy"], p["fx"], p["fy"]
+
+        def corner(i: int, j: int) -> Column:
+            angle = lattice_hash(ix + i, iy + j, p["seed"]) * F.lit(2 * 3.141592653589793 / 2**32)
+            return let(angle, lambda a: F.cos(a) * (fx - i) + F.sin(a) * (fy - j))
+
+        row = lambda j: let(F.struct(corner(0, j).alias("a"), corner(1, j).alias("b")), lambda c: lerp(c["a"], c["b"], fade(fx)))
+        return let(F.struct(row(0).alias("a"), row(1).alias("b")), lambda c: 1.4142 * lerp(c["a"], c["b"], fade(fy)))
 
-    rows = [lerp(corner(0, j), corner(1, j), fade(fx)) for j in (0, 1)]
-    return 1.4142 * lerp(rows[0], rows[1], fade(fy))
+    point = lambda p: F.struct(F.floor(p["x"]).cast("long").alias("ix"), F.floor(p["y"]).cast("long").alias("iy"), (p["x"] - F.floor(p["x"])).alias("fx"), (p["y"] - F.floor(p["y"])).alias("fy"), p["seed"].alias("seed"))
+    return let(let(F.struct(x.alias("x"), y.alias("y"), seed.alias("seed")), point), at)
 
 
 def overlap(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:

@@ -226,9 +226,9 @@ def resampled(df: DataFrame, key: str, order: list[str], x: str, y: str, step: f
     # point n lies at n / count of the way; a stretch has those after its begin up to its end, and the start if it is the first
     mark = lambda s: F.floor(s * count / F.col("_all") + 1e-9)
     first, last = F.when(F.col("_a") > 0, mark(F.col("_a")) + 1).otherwise(0), mark(F.col("_b"))
-    marks = ends.withColumn("n", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    k = (F.col("n") * F.col("_all") / count - F.col("_a")) / (F.col("_b") - F.col("_a"))
-    return marks.select(key, "n", (F.col(x) + (F.col("_x") - F.col(x)) * k).alias("x"), (F.col(y) + (F.col("_y") - F.col(y)) * k).alias("y"))
+    marks = ends.withColumn("_m", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    k = (F.col("_m") * F.col("_all") / count - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    return marks.select(key, F.col("_m").alias("n"), (F.col(x) + (F.col("_x") - F.col(x)) * k).alias("x"), (F.col(y) + (F.col("_y") - F.col(y)) * k).alias("y"))
 
 
 def prefix(df: DataFrame, key: str, order: list[str], x: str, y: str, share: float) -> DataFrame:

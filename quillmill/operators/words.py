@@ -95,12 +95,12 @@ def resolve(cues: DataFrame, words: DataFrame, depth: int = 4) -> DataFrame:
     if cues.limit(MOST_CUES + 1).count() > MOST_CUES:
         raise ValueError("too many cues")
     sheet = cues.withColumn("r", reference(F.trim("ref"))).withColumn("t", F.col("ref").try_cast("double"))
-    asked = sheet.where("r.kind = 'word'").select(word_key(F.col("r.name")).alias("_k"), F.col("r.nth").alias("nth")).distinct()
-    deepest = asked.groupBy("_k").agg(F.max("nth").alias("_most"))
+    asked = sheet.where("r.kind = 'word'").select(word_key(F.col("r.name")).alias("_w"), F.col("r.nth").alias("_nth")).distinct()
+    deepest = asked.groupBy(F.col("_w").alias("_k")).agg(F.max("_nth").alias("_most"))
     # least places first on each side of the shuffle: a frequent word moves as few rows as its cue asks for
     spoken = words.select(word_key(F.col("word")).alias("_k"), "ord", "t0").join(F.broadcast(deepest), "_k")
     spoken = spoken.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy("ord"))).where("_n <= _most")
-    times = spoken.join(F.broadcast(asked), (spoken["_k"] == asked["_k"]) & (F.col("_n") == F.col("nth"))).select(asked["_k"].alias("_w"), F.col("nth").alias("_nth"), "t0")
+    times = spoken.join(F.broadcast(asked), (F.col("_k") == F.col("_w")) & (F.col("_n") == F.col("_nth"))).select("_w", "_nth", "t0")
     at = sheet.join(times, (F.col("r.kind") == "word") & (word_key(F.col("r.name")) == F.col("_w")) & (F.col("r.nth") == F.col("_nth")), "left")
     at = at.select("name", "ref", F.when(F.col("r.kind") == "cue", F.col("r.name")).alias("on"), F.col("r.shift").alias("shift"), F.coalesce("t", F.col("t0") + F.col("r.shift")).alias("t"))
     all_ = at.agg(F.collect_list(F.struct("name", "ref", "on", "shift", "t")).alias("c"))
@@ -124,7 +124,7 @@ def with_spans(df: DataFrame, wanted: str, heard: str, name: str = "spans") -> D
     Kinds are equal, replace, delete (wanted only) and insert (heard only). Null arrays count as empty.
     """
     out = T.StructType([f for f in df.schema.fields if f.name != name])
-    kept, kind = out.names, pa.list_(pa.struct([pa.field("kind", pa.string()), *(pa.field(c, pa.int32()) for c in ("a0", "a1", "b0", "b1"))]))
+    kept, kind = list(out.names), pa.list_(pa.struct([pa.field("kind", pa.string()), *(pa.field(c, pa.int32()) for c in ("a0", "a1", "b0", "b1"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +167,7 @@ def timed_script(wanted: DataFrame, heard: DataFrame, key: list[str]) -> DataFra
     """
     listed = lambda df, name: df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", word_key(F.col("word")).alias("k")))), lambda x: x["k"]).alias(name))
     spans = with_spans(listed(wanted, "_a").join(listed(heard, "_b"), key, "left"), "_a", "_b").select(*key, F.explode("spans").alias("s")).select(*key, "s.*")
-    spans = spans.where("a1 > a0 and b1 > b0").withColumn("ord", F.explode(F.sequence("a0", F.col("a1") - 1)).cast("long"))
+    spans = spans.where("a1 > a0 and b1 > b0").withColumn("ord", F.explode(F.sequence("a0", F.col("a1") - 1))).withColumn("ord", F.col("ord").cast("long"))
     single = F.col("a1") - F.col("a0") == F.col("b1") - F.col("b0")
     spans = spans.select(*key, "ord", "a0", F.when(single, F.col("b0") + F.col("ord") - F.col("a0")).otherwise(F.col("b0")).cast("long").alias("_first"), F.when(single, F.col("b0") + F.col("ord") - F.col("a0")).otherwise(F.col("b1") - 1).cast("long").alias("_last"))
     start, end = heard.select(*key, F.col("ord").alias("_first"), F.col("t0").alias("_from")), heard.select(*key, F.col("ord").alias("_last"), F.col("t1").alias("_to"))
@@ -177,7 +177,7 @@ def timed_script(wanted: DataFrame, heard: DataFrame, key: list[str]) -> DataFra
     size = F.greatest(F.length(word_key(F.col("word"))), F.lit(1))
     rows = rows.withColumn("_size", size).withColumn("_all", F.sum("_size").over(shared)).withColumn("_done", F.sum("_size").over(shared.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
     along = lambda part: F.col("_from") + (F.col("_to") - F.col("_from")) * part / F.col("_all")
-    rows = rows.withColumn("_t0", along(F.col("_done") - F.col("_size"))).withColumn("_t1", along(F.col("_done")))
+    rows = rows.withColumn("_t0", along(F.col("_done") - F.col("_size"))).withColumn("_t1", F.when(F.col("_done") == F.col("_all"), F.col("_to")).otherwise(along(F.col("_done"))))
     # islands of words that were not heard lie between the known neighbours
     back, ahead = W.partitionBy(*key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*key).orderBy("ord").rowsBetween(0, W.unboundedFollowing)
     rows = rows.withColumn("_island", F.count("_t0").over(back)).withColumn("_p", F.last("_t1", True).over(back)).withColumn("_q", F.first("_t0", True).over(ahead))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.functions import catalog as cat
+from quillmill.functions import catalog as cat, packs
 from quillmill.operators import catalog
+from quillmill.plans.literal import frame, values
+from quillmill.sources import files
 from quillmill.sources.tables import table
 
 
@@ -56,7 +58,198 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", cat.human(n * 37).alias("human"), cat.aspect(n % 40, n % 31).alias("aspect"), cat.rate(n % 11, n % 1001).alias("rate"), cat.duration(length).alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (keyed_merge, merge_summary, ranked_search, label_facets, source_facets, page_cards, page_keys, number_formats)}
+# ---- records made of documents
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
+    t = lambda a, k: F.substring("text", a, k)
+    prompt = lambda source, quality, text: F.struct(F.lit(source).alias("source"), F.lit(quality).alias("quality"), text.alias("text"), F.lit("u").alias("url"))
+    prompts = F.when(n % 3 == 1, F.array(prompt("repost", "full", t(1, 60)))).when(n % 3 == 2, F.array(prompt("a", "partial", t(200, 50)), prompt("b", "brief", t(100, 80)))).otherwise(F.array().cast(catalog.PROMPT))
+    theme = F.element_at(F.array(*map(F.lit, ("stories", "education", "art3d", "other"))), (n % 4 + 1).cast("int"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"),
+        F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("https://x.example/"), "lang", F.lit("/status/"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("https://y.example/v/item-"), F.col("doc_id").cast("string"), F.lit("/"))).alias("url"),
+        F.concat_ws(" ", "source", "lang").alias("title"), t(1, 80).alias("summary"), F.concat_ws("_", "lang", "source").alias("author"), F.concat(F.lit("2024-"), F.lpad((n % 12 + 1).cast("string"), 2, "0")).alias("posted"),
+        F.array_compact(F.array("lang", "source", F.when(n % 3 == 0, F.lit("vertical")))).alias("tags"), cat.categories(theme).alias("categories"), F.array(F.concat(F.lit("Tool."), "lang")).alias("tech"),
+        (n * 7 % 20000).alias("views"), F.when(n % 4 > 0, n % 300).alias("bookmarks"), (n % 40).cast("int").alias("width"), (n % 31).cast("int").alias("height"),
+        F.when(n % 5 > 0, t(1, 120)).alias("post_text"), prompts.alias("prompts"), (n % 2 == 0).alias("has_prompt"),
+    )
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("n_chars % 7 = 0")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("prompt of "), "source")).otherwise(F.lit("")).alias("text"), F.lit("page").alias("url"))
+
+
+def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.finished(catalog.with_pages(_records(spark, sf_dir), _pages(spark, sf_dir)), "repost")
+
+
+def record_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with their page's prompt, the best one, its flags, the format and the share of saves."""
+    f = _finished(spark, sf_dir)
+    return f.select("id", F.size("prompts").cast("long").alias("n_prompts"), "prompt_quality", "prompt_source", "prompt_is_post_text", "aspect", F.length("prompt").cast("long").alias("n_chars"), "saves_per_view")
+
+
+def record_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    return r.select("id", F.array_join("categories", "|").alias("categories"), cat.norm_key(F.get("tech", 0)).alias("tech"), cat.status_id(F.col("url")).alias("status"))
+
+
+def searched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, tags, categories, tools, an author and the least views, sorted by saves."""
+    wanted = catalog.Wanted(tags=["EN"], categories=["story"], tech=["tool.en"], author=None, min_views=100, sort="saves")
+    return catalog.search_records(_finished(spark, sf_dir), ["the", "and"], wanted).select("id", F.col("tier").cast("long").alias("tier"), "bookmarks")
+
+
+def searched_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An orientation and a real prompt, sorted by saves a view, which asks for 5000 views."""
+    wanted = catalog.Wanted(aspect="vertical", has_prompt=True, sort="saves-per-view")
+    return catalog.search_records(_finished(spark, sf_dir), [], wanted).select("id", "aspect", "saves_per_view")
+
+
+def searched_by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = catalog.Wanted(author="@EN_Src6", sort="recent")
+    return catalog.search_records(_finished(spark, sf_dir), ["a"], wanted).select("id", "posted")
+
+
+def record_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked list as shown, with the sizes of tiers."""
+    shown = catalog.listing(_finished(spark, sf_dir), ["the", "of"], catalog.Wanted(sort="views"), 25)
+    return shown.select("id", "place", F.col("tier").cast("long").alias("tier"), "begins", "in_tier", "matches")
+
+
+def record_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by id, address, slug and the end of an address; an unknown key finds none."""
+    r, out = _records(spark, sf_dir), None
+    for key in ("17", "https://x.example/de/status/23", "doc-42", "https://y.example/v/item-15", "nothing"):
+        one = catalog.lookup(r, key).select(F.lit(key).alias("key"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def record_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as rows of field and value."""
+    r = _records(spark, sf_dir).select("id", "title", "bookmarks", "tags", "categories", "post_text", F.lit("").alias("nothing"))
+    return catalog.view(r).select("id", "field", "value")
+
+
+def records_to_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _finished(spark, sf_dir)
+    return catalog.to_enrich(r, _pages(spark, sf_dir), 20).select("id", "views")
+
+
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _finished(spark, sf_dir).withColumn("sources", F.when(F.col("id") % 3 == 0, F.array("slug", "title")).otherwise(F.array("slug")))
+    return catalog.merge_counts(r, "prompt_quality")
+
+
+# ---- pages, files, scalars
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.array_join(catalog.link_names(F.col("html"), "/", ["The", "and"]), "|").alias("names"))
+
+
+def grepped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by words of their title and address, and a length."""
+    c = catalog.cards(table(spark, sf_dir, "pages"))
+    return c.where(cat.grep([F.col("title"), F.col("url")], ["example", "en"], F.col("links"), 8)).select("page_id", "links")
+
+
+def fresh_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", cat.fresh(F.col("ts"), F.lit("2024-01-20 00:00:00"), 14).alias("two_weeks"), cat.fresh(F.col("ts"), F.lit("2024-01-20 00:00:00"), packs.PAGE_DAYS).alias("week"))
+
+
+FILES = ["Drums/Snare/snare C4 loud.wav", "Drums/Snare/snare C#4 loud.wav", "Drums/Legacy/Snare/snare c4.flac", "Drums/Snare/notes.txt", "Keys/Piano/C4 v3.OGG", "Keys/Piano/c4v3.mp3", "Drums/Snare/a C4.wav"]
+INDEX = [("snare", "Drums/Snare/snare C4 loud.wav"), ("gone", "Drums/x.wav"), ("key", "Keys/Piano/C4 v3.OGG")]
+
+
+def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder by whole words of their name, in the order in which they are tried."""
+    found = catalog.matching_files(frame(spark, [(f,) for f in FILES], "path string"), "Snare/", "c4")
+    return found.select("path", F.monotonically_increasing_id().alias("_i")).select("path")
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.tree(frame(spark, [(f,) for f in FILES], "path string"))
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.listed(frame(spark, INDEX, "name string, path string"), frame(spark, [(f,) for f in FILES], "path string")).select("name", "path")
+
+
+def paged_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users over pages of events until a page brings none that is new."""
+    e = table(spark, sf_dir, "events")
+    pages = [e.where(F.col("event_id").between(a, a + 30)).groupBy("user_id").agg(F.min("event_id").alias("first")) for a in (0, 31, 0, 62)]
+    return catalog.paged(pages, "user_id").select("user_id", "first")
+
+
+def kept_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that came empty keeps its last good rows, another one is taken as it is; a failed loader doesn't stop the others."""
+    n, schema = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey int, n_name string"
+    last = n.where("n_nationkey < 5")
+
+    def broken() -> DataFrame:
+        raise OSError("not reachable")
+
+    loaded, good = files.fetch_all(spark, {"a": lambda: n.where("n_nationkey >= 20"), "b": broken, "c": lambda: n.where("false")}, {k: schema for k in "abc"}, {"b": last})
+    rows = None
+    for k, df in loaded.items():
+        one = df.select(F.lit(k).alias("source"), F.lit(k in good).alias("good"), "n_nationkey")
+        rows = one if rows is None else rows.unionByName(one)
+    kept = catalog.keep_last_good(n.where("false"), last).select(F.lit("kept").alias("source"), F.lit(False).alias("good"), "n_nationkey")
+    return rows.unionByName(kept)
+
+
+CUES_OLD, CUES_NEW = [("a", 1.0), ("b", 2.0)], [("b", 2.5), ("c", 3.0)]
+
+
+def updated_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.cue_update(frame(spark, CUES_OLD, "name string, t double"), frame(spark, CUES_NEW, "name string, t double"), "name", "t")
+
+
+OPTIONS = ["true", "False", "none", "12", "-7", "+3", "1.5", ".5", "2.", "1e3", "x", "12a", "", "1,5"]
+
+
+def parsed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = frame(spark, [(o,) for o in OPTIONS], "o string").withColumn("p", cat.parsed(F.col("o")))
+    return o.select("o", "p.kind", F.col("p.bool").alias("b"), F.col("p.int").alias("i"), F.col("p.float").alias("f"))
+
+
+ASSETS = ["bank:drum/hit@3", "bank:drum/hit", "pack:ui/click", "https://a.b/c.mp3?x=1", "sounds/a.wav", "mix-sfx:123"]
+
+
+def asset_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = frame(spark, [(x,) for x in ASSETS], "uri string").withColumn("a", cat.asset(F.col("uri")))
+    return a.select("uri", "a.scheme", "a.ref", "a.nth")
+
+
+CURVES = [(1, "[[2, -4], [1, 3]]"), (2, '{"t": [0.5, 0.25], "v": [1, -2]}'), (3, '{"fps": 4, "speed": [1, -2, 3], "t0": 10}'), (4, '{"fps": 2, "v": [5]}')]
+
+
+def speed_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frame(spark, CURVES, "k long, spec string").select("k", F.posexplode(files.speed_curve(F.col("spec"))).alias("i", "p"))
+    return c.select("k", F.col("i").cast("long").alias("i"), "p.t", "p.v")
+
+
+def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON texts."""
+    return files.as_json(table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        keyed_merge, merge_summary, ranked_search, label_facets, source_facets, page_cards, page_keys, number_formats, record_prompts, record_categories, searched_records, searched_by_ratio, searched_by_author,
+        record_listing, record_lookups, record_views, records_to_enrich, record_counts, page_links, grepped_pages, fresh_events, sound_files, file_tree, listed_files, paged_users, kept_sources, updated_cues,
+        parsed_options, asset_parts, speed_curves, label_documents,
+    )
+}
 
 _MERGED = """
     a AS (SELECT doc_id AS id, 0 AS o, 'documents' AS src, source || ' ' || lang AS title, lang AS label, n_chars AS views, [lang, source] AS tags FROM documents
@@ -67,6 +260,32 @@ _MERGED = """
 _ESC = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 _LINKS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
+_NORM = r"lower(regexp_replace(regexp_replace(coalesce({0}, ''), 'https?://\S+', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g'))"
+_ASPECT = "CASE WHEN width = 0 OR height = 0 THEN NULL WHEN width / height >= 1.5 THEN '16:9' WHEN width / height >= 1.15 THEN '4:3' WHEN width / height > 0.87 THEN '1:1' WHEN width / height >= 0.7 THEN '4:5' ELSE '9:16' END"
+_RECORDS = """
+    rec AS (SELECT doc_id AS id, 'doc-' || doc_id AS slug, CASE WHEN doc_id % 5 > 0 THEN 'https://x.example/' || lang || '/status/' || doc_id ELSE 'https://y.example/v/item-' || doc_id || '/' END AS url,
+        source || ' ' || lang AS title, substr(text, 1, 80) AS summary, lang || '_' || source AS author, '2024-' || lpad((n_chars % 12 + 1)::VARCHAR, 2, '0') AS posted,
+        list_filter([lang, source, CASE WHEN n_chars % 3 = 0 THEN 'vertical' END], lambda x: x IS NOT NULL) AS tags,
+        [['story'], ['explainer'], ['3d', 'art'], ['other']][n_chars % 4 + 1] AS categories, ['Tool.' || lang] AS tech,
+        n_chars * 7 % 20000 AS views, CASE WHEN n_chars % 4 > 0 THEN n_chars % 300 END AS bookmarks, n_chars % 40 AS width, n_chars % 31 AS height,
+        CASE WHEN n_chars % 5 > 0 THEN substr(text, 1, 120) END AS post_text,
+        CASE WHEN n_chars % 3 = 1 THEN [{'s': 'repost', 'q': 'full', 't': substr(text, 1, 60)}] WHEN n_chars % 3 = 2 THEN [{'s': 'a', 'q': 'partial', 't': substr(text, 200, 50)}, {'s': 'b', 'q': 'brief', 't': substr(text, 100, 80)}] ELSE [] END AS own,
+        n_chars % 2 = 0 AS has_prompt FROM documents),
+    pg AS (SELECT 'doc-' || doc_id AS slug, CASE WHEN doc_id % 2 = 0 THEN 'prompt of ' || source ELSE '' END AS text FROM documents WHERE n_chars % 7 = 0)"""
+_SAME = f"({_NORM.format('p.t')} <> '' AND (contains({_NORM.format('post_text')}, {_NORM.format('p.t')}) OR contains({_NORM.format('p.t')}, {_NORM.format('post_text')})))"
+_FIN = f"""{_RECORDS},
+    pr AS (SELECT rec.*, CASE WHEN length(pg.text) > 0 THEN own || [{{'s': 'pages', 'q': 'full', 't': pg.text}}] ELSE own END AS ps FROM rec LEFT JOIN pg USING (slug)),
+    fl AS (SELECT *, list_transform(ps, lambda p, i: {{'r': CASE p.q WHEN 'full' THEN -3 WHEN 'brief' THEN -2 ELSE -1 END + CASE WHEN p.s = 'repost' AND {_NORM.format('post_text')} <> '' AND {_SAME} AND p.q = 'full' THEN 1 ELSE 0 END,
+                  'l': -length(p.t), 'i': i, 's': p.s, 't': p.t, 'x': CASE WHEN {_NORM.format('post_text')} <> '' THEN {_SAME} END}}) AS q FROM pr),
+    fin AS (SELECT *, list_sort(q)[1] AS b, ['full', 'brief', 'partial'][4 + list_sort(q)[1].r] AS prompt_quality, coalesce({_ASPECT}, CASE WHEN list_contains(tags, 'vertical') THEN '9:16' END) AS aspect,
+                   CASE WHEN views >= 1 THEN round_even(bookmarks / views, 5) END AS saves_per_view FROM fl),
+    hay AS (SELECT *, lower(title || ' ' || summary || ' ' || author || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(categories, ' ') || ' ' || array_to_string(tech, ' ')) AS d FROM fin),
+    deep AS (SELECT *, d || ' ' || lower(coalesce(post_text, '') || ' ' || array_to_string(list_transform(list_sort(q), lambda x: x.t), ' ')) AS e FROM hay)"""
+_START = "(^|[^0-9a-zÀ-ɏЀ-ӿ])"
+_TIER = lambda a, b: f"CASE WHEN regexp_matches(d, '{_START}{a}[\\s_-]*{b}') THEN 0 WHEN regexp_matches(e, '{_START}{a}[\\s_-]*{b}') THEN 1 WHEN regexp_matches(d, '{_START}{a}') AND regexp_matches(d, '{_START}{b}') THEN 2 ELSE 3 END"
+_BOTH = lambda a, b: f"regexp_matches(e, '{_START}{a}') AND regexp_matches(e, '{_START}{b}')"
+_FILES = values([(f,) for f in FILES], "path")
+
 ORACLE_SQL = {
     "keyed_merge": f"WITH {_MERGED} SELECT id, title, label, views, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS tags, sources FROM m",
     "merge_summary": f"WITH {_MERGED} SELECT count(*) AS records, count(*) FILTER (contains(sources, '|')) AS in_several, count(label) AS labelled FROM m",
@@ -81,9 +300,42 @@ ORACLE_SQL = {
     "page_cards": f"""SELECT page_id, nullif({_ESC.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '') AS title, nullif({_ESC.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '') AS heading,
         len({_LINKS})::BIGINT AS links, len(list_distinct({_LINKS}))::BIGINT AS targets FROM pages""",
     "page_keys": r"""SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(lower(url), '[^0-9a-z\x{80}-\x{FFFF}]+', '', 'g') AS norm_key,
-        CASE WHEN length(url) <= 24 THEN url ELSE substr(url, 1, 23) || '…' END AS short, CASE WHEN regexp_matches(url, '^https?://') THEN 'http' ELSE 'path' END AS scheme FROM pages""",
+        CASE WHEN length(url) <= 24 THEN url ELSE substr(url, 1, 23) || '…' END AS short, CASE WHEN regexp_matches(url, '^http') THEN 'http' ELSE 'path' END AS scheme FROM pages""",
     "number_formats": """WITH d AS (SELECT doc_id, n_chars * 37 AS h, n_chars % 40 AS w, n_chars % 31 AS v, n_chars % 11 AS p, n_chars % 1001 AS q, n_chars % 7 AS m, n_chars % 60 AS s, (n_chars % 40) / nullif(n_chars % 31, 0) AS r FROM documents)
-        SELECT doc_id, CASE WHEN h >= 1000000 THEN format('{:.1f}', h / 1e6) || 'M' WHEN h >= 1000 THEN format('{:.0f}', h / 1e3) || 'k' ELSE h::VARCHAR END AS human,
+        SELECT doc_id, CASE WHEN h >= 1000000 THEN format('{:.1f}', round_even(h / 1e6, 1)) || 'M' WHEN h >= 10000 THEN format('{:.0f}', round_even(h / 1e3, 0)) || 'k' WHEN h >= 1000 THEN format('{:.1f}', round_even(h / 1e3, 1)) || 'k' ELSE h::VARCHAR END AS human,
                CASE WHEN w = 0 OR r IS NULL THEN NULL WHEN r >= 1.5 THEN '16:9' WHEN r >= 1.15 THEN '4:3' WHEN r > 0.87 THEN '1:1' WHEN r >= 0.7 THEN '4:5' ELSE '9:16' END AS aspect,
                CASE WHEN q >= 1 THEN round_even(p / q, 5) END AS rate, (m * 60 + s)::DOUBLE AS seconds FROM d""",
+    "record_prompts": f"WITH {_FIN} SELECT id, len(ps)::BIGINT AS n_prompts, prompt_quality, b.s AS prompt_source, b.x AS prompt_is_post_text, aspect, length(b.t)::BIGINT AS n_chars, saves_per_view FROM fin",
+    "record_categories": f"WITH {_RECORDS} SELECT id, array_to_string(categories, '|') AS categories, regexp_replace(lower(tech[1]), '[^0-9a-z]', '', 'g') AS tech, nullif(regexp_extract(url, '/status/([0-9]+)', 1), '') AS status FROM rec",
+    "searched_records": f"""WITH {_FIN} SELECT id, ({_TIER('the', 'and')})::BIGINT AS tier, bookmarks FROM deep
+        WHERE list_contains(tags, 'en') AND list_contains(categories, 'story') AND list_contains(tech, 'Tool.en') AND views >= 100 AND {_BOTH('the', 'and')}""",
+    "searched_by_ratio": f"WITH {_FIN} SELECT id, aspect, saves_per_view FROM fin WHERE aspect IN ('9:16', '4:5') AND prompt_quality IN ('full', 'brief') AND views >= 5000",
+    "searched_by_author": f"WITH {_FIN} SELECT id, posted FROM deep WHERE author = 'en_src6' AND regexp_matches(e, '{_START}a')",
+    "record_listing": f"""WITH {_FIN}, m AS (SELECT id, views, {_TIER('the', 'of')} AS tier FROM deep WHERE {_BOTH('the', 'of')}),
+        r AS (SELECT *, row_number() OVER (ORDER BY tier, views DESC, id)::INT AS place, count(*) OVER (PARTITION BY tier) AS in_tier, count(*) OVER () AS matches FROM m)
+        SELECT id, place, tier::BIGINT AS tier, coalesce(lag(tier) OVER (ORDER BY place) <> tier, true) AS begins, in_tier, matches FROM r WHERE place <= 25""",
+    "record_lookups": f"""WITH {_RECORDS}, k AS (SELECT * FROM (VALUES ('17', 17, ''), ('https://x.example/de/status/23', 23, '23'), ('doc-42', NULL, 'doc-42'), ('https://y.example/v/item-15', NULL, 'item-15'), ('nothing', NULL, 'nothing')) v(key, n, s))
+        SELECT key, min(id) AS id FROM rec JOIN k ON id = n OR slug = s OR (s <> '' AND ends_with(rtrim(url, '/'), '/' || s)) GROUP BY key""",
+    "record_views": f"""WITH {_RECORDS}, v AS (SELECT id, unnest([{{'f': 'title', 'v': title}}, {{'f': 'bookmarks', 'v': bookmarks::VARCHAR}}, {{'f': 'tags', 'v': array_to_string(tags, ', ')}}, {{'f': 'categories', 'v': array_to_string(categories, ', ')}}, {{'f': 'post_text', 'v': post_text}}]) AS x FROM rec)
+        SELECT id, x.f AS field, x.v AS value FROM v WHERE x.v <> ''""",
+    "records_to_enrich": f"WITH {_FIN} SELECT id, views FROM fin WHERE has_prompt AND coalesce(prompt_quality, 'partial') = 'partial' AND slug NOT IN (SELECT slug FROM pg) ORDER BY views DESC, id LIMIT 20",
+    "record_counts": f"WITH {_FIN} SELECT count(*) AS records, count(*) FILTER (id % 3 = 0) AS in_several, count(*) FILTER (prompt_quality IN ('full', 'brief')) AS with_prompt FROM fin",
+    "page_links": "SELECT page_id, array_to_string(list_filter(list_sort(list_distinct(regexp_extract_all(html, 'href=\"/([^/\"]+)/?\"', 1))), lambda x: x NOT IN ('The', 'and')), '|') AS names FROM pages",
+    "grepped_pages": f"""WITH c AS (SELECT page_id, url, {_ESC.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, len({_LINKS})::BIGINT AS links FROM pages)
+        SELECT page_id, links FROM c WHERE contains(lower(title || ' ' || url), 'example') AND contains(lower(title || ' ' || url), 'en') AND links <= 8""",
+    "fresh_events": "SELECT event_id, epoch(TIMESTAMP '2024-01-20') - epoch_us(ts) / 1e6 < 14 * 86400 AS two_weeks, epoch(TIMESTAMP '2024-01-20') - epoch_us(ts) / 1e6 < 7 * 86400 AS week FROM events",
+    "sound_files": f"SELECT path FROM {_FILES} WHERE path IN ('Drums/Snare/snare C4 loud.wav', 'Drums/Legacy/Snare/snare c4.flac', 'Drums/Snare/a C4.wav')",
+    "file_tree": f"SELECT path FROM {_FILES} WHERE regexp_matches(lower(path), '\\.(wav|flac|ogg|mp3)$')",
+    "listed_files": f"SELECT * FROM {values(INDEX, 'name', 'path')} WHERE path IN (SELECT path FROM {_FILES})",
+    "paged_users": """SELECT user_id, coalesce(min(event_id) FILTER (event_id <= 30), min(event_id) FILTER (event_id <= 61)) AS first FROM events WHERE event_id <= 61 GROUP BY user_id""",
+    "kept_sources": """SELECT 'a' AS source, true AS good, n_nationkey FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT 'b', false, n_nationkey FROM nation WHERE n_nationkey < 5
+        UNION ALL SELECT 'kept', false, n_nationkey FROM nation WHERE n_nationkey < 5""",
+    "updated_cues": f"SELECT coalesce(n.name, o.name) AS name, coalesce(n.t, o.t) AS t FROM {values(CUES_OLD, 'name', 't')} o FULL JOIN {values(CUES_NEW, 'name', 't')} n ON o.name = n.name",
+    "parsed_options": f"""WITH k AS (SELECT o, CASE WHEN lower(o) IN ('true', 'false') THEN 'bool' WHEN lower(o) = 'none' THEN 'none' WHEN regexp_full_match(o, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(o, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float' ELSE 'text' END AS kind FROM {values([(o,) for o in OPTIONS], 'o')})
+        SELECT o, kind, CASE WHEN kind = 'bool' THEN lower(o) = 'true' END AS b, CASE WHEN kind = 'int' THEN try_cast(o AS BIGINT) END AS i, CASE WHEN kind = 'float' THEN try_cast(o AS DOUBLE) END AS f FROM k""",
+    "asset_parts": f"""WITH a AS (SELECT uri, regexp_extract(uri, '^([a-z][a-z0-9-]+):[^/]', 1) AS s FROM {values([(a,) for a in ASSETS], 'uri')})
+        SELECT uri, CASE WHEN starts_with(uri, 'http') THEN 'http' WHEN s <> '' THEN s ELSE 'path' END AS scheme, CASE WHEN s <> '' AND NOT starts_with(uri, 'http') THEN regexp_replace(substr(uri, length(s) + 2), '@[0-9]+$', '') ELSE uri END AS ref,
+               CASE WHEN s <> '' THEN coalesce(try_cast(nullif(regexp_extract(uri, '@([0-9]+)$', 1), '') AS INT), 1) END AS nth FROM a""",
+    "speed_curves": f"SELECT * FROM {values([(1, 0, 1.0, 3.0), (1, 1, 2.0, 4.0), (2, 0, 0.25, 2.0), (2, 1, 0.5, 1.0), (3, 0, 10.0, 1.0), (3, 1, 10.25, 2.0), (3, 2, 10.5, 3.0), (4, 0, 0.0, 5.0)], 'k', 'i', 't', 'v')}",
+    "label_documents": "SELECT to_json({'doc_id': doc_id, 'quality': quality, 'toxic': toxic})::VARCHAR AS json FROM labels",
 }

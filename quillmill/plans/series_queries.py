@@ -119,7 +119,7 @@ def strongest_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eased_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     p = F.col("value") / 50
-    cols = [F.round(series.ease(k, p), 12).alias(f"ease_{k}") for k in ("linear", "in", "out", "in_out")]
+    cols = [F.round(series.ease(k, p), 10).alias(f"ease_{k}") for k in ("linear", "in", "out", "in_out", "smooth", "out5", "expo_out", "in4")]
     return e.select("event_id", *cols, F.round(series.spring(p, 2.0, 0.5), 6).alias("spring"))
 
 
@@ -178,7 +178,8 @@ ORACLE_SQL = {
                      - avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS lift FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lift DESC, ts, event_id) AS r FROM l WHERE lift IS NOT NULL) SELECT event_id, user_id, round(lift, 6) AS lift FROM r WHERE r <= 4""",
     "eased_values": """WITH p AS (SELECT event_id, value / 50 AS u, least(1.0, greatest(0.0, value / 50)) AS p FROM events)
-        SELECT event_id, round(p, 12) AS ease_linear, round(p * p * p, 12) AS ease_in, round(1 - pow(1 - p, 3), 12) AS ease_out,
-               round(CASE WHEN p < 0.5 THEN 4 * p * p * p ELSE 1 - pow(2 - 2 * p, 3) / 2 END, 12) AS ease_in_out,
+        SELECT event_id, round(p, 10) AS ease_linear, round(p * p * p, 10) AS ease_in, round(1 - pow(1 - p, 3), 10) AS ease_out,
+               round(CASE WHEN p < 0.5 THEN 4 * p * p * p ELSE 1 - pow(2 - 2 * p, 3) / 2 END, 10) AS ease_in_out,
+               round(p * p * (3 - 2 * p), 10) AS ease_smooth, round(1 - pow(1 - p, 5), 10) AS ease_out5, round(CASE WHEN p >= 1 THEN 1 ELSE 1 - pow(2, -10 * p) END, 10)::DOUBLE AS ease_expo_out, round(p * p * p * p, 10) AS ease_in4,
                round(CASE WHEN u <= 0 THEN 0 ELSE 1 - exp(-0.5 * 4 * pi() * u) * (cos(4 * pi() * sqrt(0.75) * u) + 0.5 / sqrt(0.75) * sin(4 * pi() * sqrt(0.75) * u)) END, 6) AS spring FROM p""",
 }

@@ -88,5 +88,53 @@ def test_grades(spark):
         " 'required_any', array(array('есть', 'нет')), 'first_line_any', array('факт'), 'last_block_any', array('ответить'), 'judgments', array('j'))"
     )
     r = lint.grade(lint.lint(df).withColumn("checks", checks)).first()
+    assert next(e["evidence"] for e in r["expectations"] if e["text"] == "words") == "4 words"
     assert {e["text"]: e["passed"] for e in r["expectations"]} == {"score": True, "words": False, "no hard hits": True, "required": True, "forbidden": True, "first line": True, "last block": True, "one of: есть / нет": True, "[judgment] j": None}
     assert r["summary"]["total"] == 9 and r["summary"]["failed"] == 1 and r["summary"]["pass_rate"] == round(7 / 9, 3)
+
+
+def test_decomposed_texts_count_alike(spark):
+    import unicodedata
+
+    text = "Йод и ёлка. Йогурт весьма удобный, крайний срок. " * 3
+    df = spark.createDataFrame([(1, text), (2, unicodedata.normalize("NFD", text))], "doc_id long, text string")
+    a, b = lint.lint(df).orderBy("doc_id").collect()
+    assert a["text"] != b["text"] and a["words"] == b["words"] > 0 and a["findings"] == b["findings"] and a["score"] == b["score"]
+    one, two = ([(r["pos"], r["hit"]) for r in lint.hits(df.where(F.col("doc_id") == i), {"x": ("весьма",)}).orderBy("ordinal").collect()] for i in (1, 2))
+    assert one == two and len(one) == 3
+
+
+def test_hits_follow_the_patterns_and_are_cut(spark):
+    df = spark.createDataFrame([(1, "b a b a"), (2, "a b " * 13), (3, None)], "doc_id long, text string")
+    got = lint.hits(df, {"x": ("a", "b")})
+    assert [r["pos"] for r in got.where("doc_id = 1").orderBy("ordinal").collect()] == [2, 6, 0, 4]
+    rows = got.where("doc_id = 2").orderBy("ordinal").collect()
+    assert [r["hit"] for r in rows] == ["a"] * 12 and {r["total"] for r in rows} == {26}
+    assert got.where("doc_id = 3").count() == 0
+
+
+def test_findings_and_report(spark):
+    df = spark.createDataFrame([(1, "Также так. " + "слово " * 30 + "конец.\nЭто весьма важно — да — нет — вот."), (2, None)], "doc_id long, text string")
+    found = lint.findings(df)
+    rows = {(r["category"], r["hit"]) for r in found.collect()}
+    assert ("transition", "также") in rows and ("long_sentence", "33 слов") in rows and ("intro", "весьма") in rows
+    counts = {c: n for r in lint.lint(df).collect() for c, n in r["findings"].items()}
+    assert {r["category"]: r["count"] for r in found.groupBy("category").count().collect()} == counts
+    assert lint.report(found, 1).where("ordinal > 1").count() == 0
+
+
+def test_positions_of_long_texts(spark):
+    text = "ab " * 3000
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(tx.positions(F.col("text"), "b").alias("p")).first()["p"]
+    assert [p["pos"] for p in got] == list(range(1, 9000, 3))
+
+
+def test_udtf(spark):
+    spark.udtf.register("lint_findings", lint.udtf())
+    rows = spark.sql("SELECT * FROM lint_findings('это весьма важно')").collect()
+    assert {(r["category"], r["hit"]) for r in rows} >= {("intro", "весьма"), ("eval", "важн")}
+
+
+def test_pattern_tables(spark):
+    assert lint.packs_of(lint.pattern_table(spark)) == packs.PACKS
