@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import audio, decontaminate, hpylm, near_dup, piece_bpe, pii, quality, token_files, toxicity, warc
 from quillmill.llm.common import written
+from quillmill.sources.tables import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents; where they come in fewer splits than there are cores, dealt over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _vocabulary(name: str) -> str:
@@ -101,11 +103,8 @@ QUERIES = {
 #: DuckDB has no base32: five hexadecimal digits are four characters of it.
 _BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha, {1 + 5 * k}, 5))::INT >> {down}) % 32, 1)" for k in range(8) for down in (15, 10, 5, 0))
 
-#: Pieces of the SQL of op10: tokens, and the running sum, its equal tokens and its start in the best-stretch fold.
+#: Tokens in the SQL of op10.
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-_SUM = '(CASE WHEN a."sum" <= 0 THEN 0 ELSE a."sum" END + CASE WHEN b.same = 1 THEN 1 ELSE -3 END)'
-_SAME = '(CASE WHEN a."sum" <= 0 THEN 0 ELSE a.same END + b.same)'
-_FROM = '(CASE WHEN a."sum" <= 0 THEN a.k ELSE a."from" END)'
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""
@@ -128,21 +127,17 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
         SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON id = doc_id""",
     "op10_spaced_seeds": f"""
-        WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), i AS (SELECT item_id, {_TOKENS} AS iw FROM benchmark),
+        WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), i0 AS (SELECT item_id, {_TOKENS} AS iw FROM benchmark), i AS (SELECT iw, min(item_id) AS item_id, count(*) AS n_items FROM i0 WHERE len(iw) >= 8 GROUP BY iw),
         m AS (SELECT * FROM (VALUES (0, [0, 1, 3, 6, 7]), (1, [0, 2, 4, 5, 7])) v(mask, offs)),
         dp AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 7, 0))) AS p FROM t),
         dk AS (SELECT doc_id, p, mask, array_to_string(list_transform(offs, lambda o: w[p + o + 1]), ' ') AS seed FROM dp, m),
         ip AS (SELECT item_id, iw, unnest(range(0, greatest(len(iw) - 7, 0))) AS q FROM i),
         ik AS (SELECT item_id, q, mask, array_to_string(list_transform(offs, lambda o: iw[q + o + 1]), ' ') AS seed FROM ip, m),
-        h AS (SELECT DISTINCT doc_id, item_id, p, q FROM dk JOIN ik USING (mask, seed)),
-        x AS (SELECT doc_id, item_id, p - q AS shift, greatest(0, q - 64) AS low,
-                     list_transform(range(greatest(0, q - 64), least(len(iw), q + 72)), lambda j: CASE WHEN p - q + j >= greatest(0, p - 64) AND w[p - q + j + 1] = iw[j + 1] THEN 1 ELSE 0 END) AS eq
-              FROM h JOIN t USING (doc_id) JOIN i USING (item_id)),
-        z AS (SELECT *, list_reduce(list_transform(eq, lambda e: {{'k': 0, 'sum': 0, 'same': e, 'from': 0, 'best': 0, 'n': 0, 'lo': 0, 'hi': 0}}),
-                     lambda a, b: {{'k': a.k + 1, 'sum': {_SUM}, 'same': {_SAME}, 'from': {_FROM}, 'best': CASE WHEN {_SUM} > a.best THEN {_SUM} ELSE a.best END,
-                                   'n': CASE WHEN {_SUM} > a.best THEN {_SAME} ELSE a.n END, 'lo': CASE WHEN {_SUM} > a.best THEN {_FROM} ELSE a.lo END, 'hi': CASE WHEN {_SUM} > a.best THEN a.k + 1 ELSE a.hi END}},
-                     {{'k': 0, 'sum': 0, 'same': 0, 'from': 0, 'best': 0, 'n': 0, 'lo': 0, 'hi': 0}}) AS s FROM x),
-        g AS (SELECT doc_id, item_id, s.n::BIGINT AS n_equal, (s.hi - s.lo)::BIGINT AS n_overlap, (low + shift + s.lo)::BIGINT AS doc_start, (low + s.lo)::BIGINT AS item_start FROM z)
-        SELECT doc_id, item_id, unnest(max_by({{'n_equal': n_equal, 'n_overlap': n_overlap, 'doc_start': doc_start, 'item_start': item_start}}, (n_equal, -n_overlap, -doc_start, -item_start)))
-        FROM g WHERE n_equal >= 10 AND n_equal >= 0.8 * n_overlap GROUP BY doc_id, item_id""",
+        h AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM dk JOIN ik USING (mask, seed)),
+        x AS (SELECT doc_id, item_id, n_items, len(iw) AS whole, shift, list_filter(range(0, len(iw)), lambda j: shift + j >= 0 AND w[shift + j + 1] = iw[j + 1]) AS e FROM h JOIN t USING (doc_id) JOIN i USING (item_id)),
+        a AS (SELECT *, unnest(range(1, len(e) + 1)) AS a FROM x WHERE len(e) >= least(10, whole)),
+        b AS (SELECT *, unnest(range(a, len(e) + 1)) AS b FROM a),
+        g AS (SELECT doc_id, item_id, n_items, whole, (b - a + 1)::BIGINT AS n_equal, (e[b] - e[a] + 1)::BIGINT AS n_overlap, (shift + e[a])::BIGINT AS doc_start, e[a]::BIGINT AS item_start FROM b)
+        SELECT doc_id, item_id, n_items, unnest(max_by({{'n_equal': n_equal, 'n_overlap': n_overlap, 'doc_start': doc_start, 'item_start': item_start}}, (n_equal, -n_overlap, -doc_start, -item_start)))
+        FROM g WHERE (n_equal >= 10 OR n_equal = whole) AND 5 * n_equal >= 4 * n_overlap GROUP BY doc_id, item_id, n_items""",
 }

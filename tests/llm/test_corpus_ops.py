@@ -168,6 +168,54 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def brute_stretch(doc: list[str], item: list[str], least: int = 10) -> tuple | None:
+    """The best stretch over all shifts by trying every one."""
+    best = None
+    for shift in range(-len(item) + 1, len(doc)):
+        e = [j for j in range(len(item)) if 0 <= shift + j < len(doc) and doc[shift + j] == item[j]]
+        for a in range(len(e)):
+            for b in range(a, len(e)):
+                n, m = b - a + 1, e[b] - e[a] + 1
+                if (n >= least or n == len(item)) and 5 * n >= 4 * m:
+                    best = max(best or (0,), (n, -m, -(shift + e[a]), -e[a]))
+    return None if best is None else (best[0], -best[1], -best[2], -best[3])
+
+
+def test_stretches_equal_brute_force(spark):
+    rng = random.Random(8)
+    item = [rng.choice(WORDS) for _ in range(300)]
+    short = [rng.choice(WORDS) for _ in range(9)]
+    hole = lambda words, *at: [("other" if k in at else w) for k, w in enumerate(words)]
+    docs = {
+        1: item,  # longer than any window
+        2: [*WORDS[:50], *hole(item[20:35], 7, 8), *WORDS[:50]],  # 7 equal, 2 other, 6 equal
+        3: [*item[100:140], "x", *item[140:180]],  # a word put in, so that two shifts share it
+        4: [*WORDS[:9], *short, *WORDS[:9]],  # a whole short item
+        5: hole(short, 4),
+        6: hole(item, *range(0, 300, 6)),
+        7: hole(item, *range(50, 250, 5)),
+        8: [*item[:60], *item[:60]],  # the same passage twice
+    }
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()] + [(9, " ".join(item)), (1, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (3, " ".join(item).upper()), (4, " ".join(short))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_overlap"], r["doc_start"], r["item_start"]) for r in decontaminate.overlaps(df, bench).collect()}
+    want = {}
+    for k, w in {**docs, 9: item}.items():
+        for i, x in ((3, item), (4, short)):
+            if found := brute_stretch(w, x):
+                want[k, i] = found
+    assert got == want
+    assert got[1, 3] == (300, 300, 0, 0) and got[2, 3] == (13, 15, 50, 20) and (5, 4) not in got
+    assert {r["n_items"] for r in decontaminate.overlaps(df, bench).where("item_id = 3").collect()} == {2}
+
+
+def test_clean_decides_by_texts(spark):
+    item = " ".join(WORDS[:40])
+    docs = [(1, item), (1, "a b c"), (None, item), (None, None), (2, "")]
+    left = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a b c"), (None, None), (2, "")], key=str)
+
+
 def test_no_python_in_the_plan(spark, sf):
     from quillmill.llm import queries
 
