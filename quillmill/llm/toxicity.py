@@ -1,23 +1,27 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positive class; texts of any kind, their labels not looked at, are the
-unlabelled one. Features are the presence of words and of word beginnings (four to seven letters) in
-the whole text. Features are screened by document counts: with the class prior, the counts of both
-kinds give the rate at which a clean text would hold the feature, and those that clean texts hold
-hardly ever are kept. A linear classifier is then trained in numpy on the non-negative risk
+Confirmed toxic texts are the positive class. The unlabelled class are texts of the rows that may be
+learnt, taken whatever their label says: no label but "toxic" is ever looked at. Features are the
+presence of words and of word beginnings (four to seven letters) in the whole text. Features are
+screened by document counts: with the class prior, the counts of both kinds give the rate at which a
+clean text would hold the feature, and those that clean texts hold hardly ever are kept. A linear
+classifier is then trained in numpy on the non-negative risk
 
     prior * R_positive(+) + max(0, R_unlabelled(-) - prior * R_positive(-))
 
-and its margin is turned into a probability by isotonic regression on the labelled rows of the sample.
-The classifier is fit on a bounded sample: about ``positives`` toxic and
-clean rows each and ``unlabelled`` rows at most, picked by a hash of the id (a bounded table, broadcast), of which one text of each group of copies counts, so that the words
-of a copied text are no evidence; the class prior is the toxic share among labelled rows of the sample.
-Every text is scored whole.
+where the prior is the share of confirmed toxic texts among the rows of the labels.
 
-Defined results: null and empty texts hold no feature and get the lowest score; without toxic labels
+The classifier is fit on a bounded sample of labelled rows: at most about ``positives`` toxic ones and
+``unlabelled`` others, picked by a hash of the id (a bounded table, broadcast), of which one text of each
+group of copies counts, so that the words of a copied text are no evidence.
+
+The score is the sigmoid of the classifier's margin, as the loss has it, so neither the training nor the
+scores need a clean label. Every text is scored whole.
+
+Defined results: null and empty texts hold no feature and get the score of the constant; without toxic labels
 to learn from, every score is the prior (0 without any label); labels of an id that contradict each
-other, nulls and values other than 0 and 1 are left out; repeated documents get equal scores; further
-columns are ignored.
+other count as unlabelled, rows without an id are left out; repeated documents get equal scores;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import slices, written
-from quillmill.llm.quality import isotonic, learnable
+from quillmill.llm.common import releasing, slices, written
+from quillmill.llm.quality import learnable
 
 _WORD = re.compile(r"[^\W\d_]+")
 MOST_FEATURES = 4096
-STEPS = 200
 BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -53,8 +56,6 @@ class Model:
     prior: float
     index: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def hits(self, text: str | None) -> list[int]:
         """The features of the model that a text holds."""
@@ -63,34 +64,54 @@ class Model:
 
     def margin(self, rows: list[list[int]]) -> np.ndarray:
         """The weights' sum; the last weight is the constant."""
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        flat = np.array([i for r in rows for i in r], np.int64)
-        return np.bincount(at, self.weights[flat], minlength=len(rows)) + self.weights[-1]
+        return Rows(rows).dot(self.weights)
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        if not len(self.edges):
-            return np.full(len(rows), self.prior)
-        return np.clip(np.interp(self.margin(rows), self.edges, self.values), 0, 1)
+        return _sigmoid(self.margin(rows)) if self.index else np.full(len(rows), self.prior)
+
+
+class Rows:
+    """Distinct sets of features with their counts, kept sparse."""
+
+    def __init__(self, rows: list[list[int]], counts: list[int] | None = None):
+        self.n = len(rows)
+        self.counts = np.ones(self.n) if counts is None else np.asarray(counts, np.float64)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.feature = np.fromiter((i for r in rows for i in r), np.int64, len(self.row))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.feature], minlength=self.n) + w[-1]
+
+    def back(self, g: np.ndarray, size: int) -> np.ndarray:
+        """The transposed product; the last entry is the constant's."""
+        return np.append(np.bincount(self.feature, g[self.row], minlength=size), g.sum())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 500, rate: float = 0.05, decay: float = 1e-6) -> np.ndarray:
+def risk(positive: Rows, unlabelled: Rows, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the sigmoid loss: of the positive class, and of the negative one as the unlabelled rows tell it."""
+    p, u = positive.counts / max(1.0, positive.counts.sum()), unlabelled.counts / max(1.0, unlabelled.counts.sum())
+    sp, su = _sigmoid(positive.dot(w)), _sigmoid(unlabelled.dot(w))  # the loss of class + is 1 - s, of class - it is s
+    return prior * float(p @ (1 - sp)), float(u @ su) - prior * float(p @ sp)
+
+
+def train_nnpu(positive: Rows, unlabelled: Rows, size: int, prior: float, epochs: int = 500, rate: float = 0.05, decay: float = 1e-6) -> np.ndarray:
     """Weights (constant last) of a linear classifier by the non-negative risk with the sigmoid loss.
 
-    Rows are distinct feature vectors with their counts in the first column. When the corrected
-    negative risk falls below zero, the step goes up that part's gradient, as the estimator asks.
+    When the corrected negative risk falls below zero, the step goes up that part's gradient, as the
+    estimator asks.
     """
-    (np_, xp), (nu, xu) = ((m[:, 0] / max(1.0, m[:, 0].sum()), np.hstack([m[:, 1:], np.ones((len(m), 1))])) for m in (positive, unlabelled))
-    w = np.zeros(xp.shape[1])
+    p, u = positive.counts / max(1.0, positive.counts.sum()), unlabelled.counts / max(1.0, unlabelled.counts.sum())
+    w = np.zeros(size + 1)
     w[-1] = -1.0
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, epochs + 1):
-        sp, su = _sigmoid(xp @ w), _sigmoid(xu @ w)  # the loss of class + is 1 - s, of class - it is s
-        slope_p, slope_u = xp.T @ (np_ * sp * (1 - sp)), xu.T @ (nu * su * (1 - su))
-        negative = nu @ su - prior * (np_ @ sp)
+        sp, su = _sigmoid(positive.dot(w)), _sigmoid(unlabelled.dot(w))
+        slope_p, slope_u = positive.back(p * sp * (1 - sp), size), unlabelled.back(u * su * (1 - su), size)
+        negative = u @ su - prior * (p @ sp)
         corrected = slope_u - prior * slope_p
         gradient = (-prior * slope_p + corrected) if negative >= 0 else -corrected
         gradient = gradient + decay * np.append(w[:-1], 0)
@@ -99,18 +120,6 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epoch
     return w
 
 
-def _distinct(rows: list[list[int]], size: int) -> np.ndarray:
-    """Distinct rows as dense vectors after their counts."""
-    counts: dict[tuple[int, ...], int] = {}
-    for r in rows:
-        counts[tuple(r)] = counts.get(tuple(r), 0) + 1
-    out = np.zeros((len(counts), size + 1), np.float32)
-    for k, (r, n) in enumerate(counts.items()):
-        out[k, 0] = n
-        out[k, [1 + i for i in r]] = 1
-    return out.astype(np.float64)
-
-
 def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three numbers of each of which copies and most near copies share, and others hardly ever: pairs of least hashes of the longer words."""
     for batch in slices(batches, 1024):
@@ -135,28 +144,24 @@ def _one_of_each_group(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 10_000, unlabelled: int = 20_000) -> Model:
     """Fit on ``docs`` (doc_id, text) and the labels that may be learnt."""
-    known = labels.where(learnable(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("label")).where("label in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    known = labels.where(learnable(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("label"))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("least"), F.max("label").alias("most")).select("doc_id", ((F.col("least") == 1) & (F.col("most") == 1)).alias("toxic"))
+    n, toxic = known.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
     if not toxic or toxic == n:
-        return Model(float((toxic or 0) / n) if n else 0.0)
-    learn = docs.where(learnable(F.col("doc_id")))
+        return Model(toxic / n if n else 0.0)
+    cut_p, cut_u = min(1.0, positives / toxic), min(1.0, unlabelled / n)
 
-    def some(rows: DataFrame, bound: int, of: float) -> DataFrame:
-        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, bound / max(1, of)) * 1e6))
+    def some(rows: DataFrame, share: float, kind: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1e6)).select("doc_id", F.lit(kind).alias("kind"))
 
-    wanted = some(known.where("label = 1"), positives, toxic).unionByName(some(known.where("label = 0"), positives, n - toxic))
-    # kinds: 1 confirmed toxic, 0 confirmed clean (for the prior alone), -1 unlabelled
-    sample = learn.join(F.broadcast(wanted), "doc_id").select("text", F.col("label").cast("int").alias("kind")).unionByName(some(learn, unlabelled, docs.count()).select("text", F.lit(-1).alias("kind")))
-    sample = _one_of_each_group(sample)
+    # kinds: 1 confirmed toxic, -1 any row of the labels
+    wanted = some(known.where("toxic"), cut_p, 1).unionByName(some(known, cut_u, -1))
+    sample = _one_of_each_group(docs.where(learnable(F.col("doc_id"))).join(F.broadcast(wanted), "doc_id").select("text", "kind"))
     sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(-1, 0)
-    prior = n_p / max(1, n_p + sizes.get(0, 0))
-    if not n_p or not n_u or prior == 1:
+    prior = min(1.0, (n_p / cut_p) / max(1.0, n_u / cut_u))
+    if not n_p or not n_u or prior >= 1:
         return Model(prior)
-    # the shares of both kinds that were sampled differ by what their bounds cut off
-    cut_p, cut_n = min(1.0, positives / toxic), min(1.0, positives / (n - toxic))
-    prior = (n_p / cut_p) / (n_p / cut_p + sizes.get(0, 0) / cut_n)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -172,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
                 counts = {}
         yield rows(counts)
 
-    counts = sample.where("kind <> 0").mapInArrow(explode, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(lambda batches: releasing(explode(batches)), "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     p, u = F.col("p") / n_p, F.col("u") / n_u
     clean = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior))  # the rate in clean texts
     z = (p - u) / F.sqrt((u + 1 / n_u) / n_p)
@@ -187,36 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(rows, pa.list_(pa.int32()))], names=["kind", "hits"])
 
     rows = sample.mapInArrow(found, "kind int, hits array<int>").groupBy("kind", "hits").count().collect()  # at most a row for each row of the sample
-    size = len(model.index)
-    sets = []
-    for kind in (1, -1):
-        mine = [r for r in rows if r["kind"] == kind]
-        dense = _distinct([r["hits"] for r in mine], size)
-        dense[:, 0] = [r["count"] for r in mine]
-        sets.append(dense)
-    model.weights = train_nnpu(*sets, prior)
-    _calibrate(model, [[(r["hits"], r["count"]) for r in rows if r["kind"] == kind] for kind in (1, 0)])
+    rows.sort(key=lambda r: (r["kind"], r["hits"]))
+    confirmed, others = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == -1]
+    as_rows = lambda x: Rows([r["hits"] for r in x], [r["count"] for r in x])
+    model.weights = train_nnpu(as_rows(confirmed), as_rows(others), len(model.index), prior)
     return model
 
 
-def _calibrate(model: Model, rows: list[list[tuple[list[int], int]]]) -> None:
-    """The share of toxic texts by margin, from the confirmed toxic and clean rows weighted to the prior."""
-    if not rows[1]:
-        rows = [rows[0], [([], 1)]]
-    margins = [model.margin([r for r, _ in kind]) for kind in rows]
-    counts = [np.array([c for _, c in kind], np.float64) for kind in rows]
-    low, high = min(m.min() for m in margins), max(m.max() for m in margins)
-    edges = np.linspace(low - 1e-6, high + 1e-6, STEPS + 1)
-    toxic, clean = (share * np.histogram(m, edges, weights=c)[0] / c.sum() for m, c, share in zip(margins, counts, (model.prior, 1 - model.prior), strict=True))
-    used = np.flatnonzero(toxic + clean)
-    weight = (toxic + clean)[used]
-    share = isotonic(toxic[used] / weight, weight)
-    middles = (edges[used] + edges[used + 1]) / 2
-    span = high - low + 2
-    model.edges = np.concatenate([[low - 1], middles, [high + 1]])
-    model.values = 0.998 * np.concatenate([[share[0]], share, [share[-1]]]) + 0.002 * (model.edges - low + 1) / span
-
-
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", least: float = 0.7, **bounds) -> DataFrame:
     """doc_id, held_out, score and predicted for each document."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

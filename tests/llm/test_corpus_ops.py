@@ -281,16 +281,40 @@ def test_classifiers_odd_rows(spark, classify):
 # ---- toxicity
 
 
+def _binary(x: np.ndarray) -> toxicity.Rows:
+    return toxicity.Rows([np.flatnonzero(r).tolist() for r in x])
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 6)) < np.where(np.arange(4000)[:, None] < 800, [0.7, 0.7, 0.1, 0.1, 0.5, 0.5], [0.01, 0.01, 0.1, 0.1, 0.5, 0.5])
-    rows = np.hstack([np.ones((4000, 1)), x])
-    w = toxicity.train_nnpu(rows[:400], rows[400:], 0.11)
+    w = toxicity.train_nnpu(_binary(x[:400]), _binary(x[400:]), 6, 0.11)
     margin = x @ w[:-1] + w[-1]
     assert w[0] > 1 and w[1] > 1 and abs(w[4]) < w[0] / 2
     assert np.mean(margin[:800] > margin[800:].mean()) > 0.85
 
 
+def test_nnpu_risk_equals_brute_force():
+    rng = np.random.default_rng(1)
+    p, u, w = rng.random((7, 4)) < 0.5, rng.random((11, 4)) < 0.3, rng.normal(size=5)
+    s = lambda r: 1 / (1 + math.exp(-(sum(w[i] for i in range(4) if r[i]) + w[4])))
+    want = 0.2 * sum(1 - s(r) for r in p) / 7, sum(s(r) for r in u) / 11 - 0.2 * sum(s(r) for r in p) / 7
+    assert toxicity.risk(_binary(p), _binary(u), w, 0.2) == pytest.approx(want)
+    # repeated rows and counts are one
+    assert toxicity.risk(toxicity.Rows([[0], [1]], [2, 1]), _binary(u), w, 0.2) == pytest.approx(toxicity.risk(toxicity.Rows([[0], [0], [1]]), _binary(u), w, 0.2))
+    # the gradient that training uses, against differences
+    rows, g = _binary(u), rng.normal(size=11)
+    assert rows.back(g, 4) == pytest.approx([*(u.T @ g), g.sum()])
+
+
+def test_clean_labels_are_not_read(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    unknown = labels.withColumn("toxic", F.when(F.col("toxic") == 1, 1))  # clean rows are unlabelled ones
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.classify(docs, x).collect()} for x in (labels, unknown))
+    assert a == b
+
+
 def test_toxicity_holds_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
