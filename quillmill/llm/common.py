@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -54,12 +55,18 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made and nothing reads any more."""
+def discard(df: DataFrame, kind: int | None = None) -> None:
+    """Delete the files of a table that ``written`` made and nothing reads any more, or those of one ``kind`` of a table written by kinds.
+
+    A collection on the driver follows, so that Spark drops the shuffle files of steps that are done.
+    """
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders if kind is None else {f for f in folders if f.endswith(f"/kind={kind}")}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def filesystem(uri: str):
@@ -90,6 +97,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def fresh_memory() -> None:
+    """Free memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def releasing(rows: Iterator[pa.RecordBatch], *forget: Callable[[], object]) -> Iterator[pa.RecordBatch]:
     """``rows``, and at their end (or when the task fails) the worker's tables are cleared and its free memory goes back to the system.
 
@@ -100,8 +116,4 @@ def releasing(rows: Iterator[pa.RecordBatch], *forget: Callable[[], object]) ->
     finally:
         for f in forget:
             f()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        fresh_memory()

@@ -350,26 +350,145 @@ def test_scores(spark, sf):
     assert p[True]["perplexity"] < p[True]["base_perplexity"]
 
 
-def test_model_probabilities_sum_to_one(spark, sf):
+def test_scores_hang_on_no_partition_or_chunk(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    words = hpylm.chunked(docs).where("kind = 1")
-    model = hpylm.Model(words)
-    back, unknown = model.backoff(), model.unknown()
-    total = np.zeros(hpylm.SHAPES)
-    for r in model.answers().collect():
-        x = np.frombuffer(bytes(r["blob"]), "<f4").astype(float)
-        total += x[: hpylm.SHAPES] + back @ x[hpylm.SHAPES :] / len(unknown)
-    assert np.allclose(total + back @ unknown / len(unknown), 1, atol=1e-3)
+    one = lambda df: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in hpylm.score(df).collect()}
+    want = one(docs)
+    assert one(docs.repartition(8)) == want
+    monkeypatch.setattr(hpylm, "CHUNK_BYTES", 20_000)  # many chunks, and several buckets and parts
+    monkeypatch.setattr(hpylm, "SHARE_BYTES", 1 << 15)
+    assert one(docs) == want
+
+
+def _toy(seed: int = 4) -> list[tuple[int, str]]:
+    """Texts of a small language in which the word before tells the next one."""
+    rng, names = random.Random(seed), "abcdefghij"
+    docs = []
+    for k in range(80):
+        w = [rng.choice(names)]
+        for _ in range(25):
+            w.append(names[(names.index(w[-1]) * 3 + rng.choice([1, 1, 1, 2, 5])) % 10])
+        docs.append((k, " ".join(w)))
+    return docs
 
 
-def test_seating_bounds():
+def plain_gibbs(docs, sweeps: int = 60, burn: int = 20) -> dict[int, float]:
+    """A Pitman-Yor bigram model by the textbook sampler: customers one by one, tables with their own sizes."""
+    rng = random.Random(0)
+    tokens = {d: ["\n", *t.split(), "\n"] for d, t in docs}
+    pairs = [(u, w) for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 10 for u, w in zip(ws, ws[1:])]
+    count = collections.Counter(pairs)
+    known = len({w for _, w in pairs})
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    heads = collections.Counter(w for _, w in count)
+    d1, d0 = hpylm._discount(once, twice), hpylm._discount(sum(c == 1 for c in heads.values()), sum(c == 2 for c in heads.values()))
+    leaf, root = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+    total = collections.Counter()
+
+    def sit(tables, d, mass, above):  # sizes of a word's tables; True if a new one was opened
+        x = rng.random() * (sum(tables) - d * len(tables) + mass * above)
+        for i, n in enumerate(tables):
+            x -= n - d
+            if x < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        x = rng.randrange(sum(tables))
+        for i, n in enumerate(tables):
+            x -= n
+            if x < 0:
+                tables[i] -= 1
+                if not tables[i]:
+                    tables.pop(i)
+                    return True
+                return False
+
+    def above(w):
+        q, r, big, all_ = sum(root[w]), len(root[w]), sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (q - d0 * r + (1 + d0 * all_) / (known + 1)) / (1 + big)
+
+    def enter(u, w):
+        if sit(leaf[u][w], d1, 1 + d1 * total[u], above(w)):
+            total[u] += 1
+            sit(root[w], d0, 1 + d0 * sum(map(len, root.values())), 1 / (known + 1))
+
+    for p in pairs:
+        enter(*p)
+    n = collections.Counter(u for u, _ in pairs)
+    out, seen = collections.defaultdict(lambda: collections.defaultdict(float)), {q for ws in tokens.values() for q in zip(ws, ws[1:])}
+    for s in range(sweeps):
+        for u, w in pairs:
+            if leave(leaf[u][w]):
+                total[u] -= 1
+                leave(root[w])
+            enter(u, w)
+        if s >= burn:
+            for u, w in seen:
+                out[u][w] += (sum(leaf[u][w]) - d1 * len(leaf[u][w]) + (1 + d1 * total[u]) * above(w)) / (1 + n[u]) / (sweeps - burn)
+    return {d: sum(math.log10(out[u][w]) for u, w in zip(ws, ws[1:])) for d, ws in tokens.items()}
+
+
+def test_scores_are_near_the_plain_sampler(spark):
+    docs = _toy()
+    want = plain_gibbs(docs)
+    got = {r["doc_id"]: r for r in hpylm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, x in want.items():
+        assert got[d]["score"] == pytest.approx(x, rel=0.03)
+    held = [d for d in want if got[d]["held_out"]]
+    assert sum(got[d]["score"] for d in held) == pytest.approx(sum(want[d] for d in held), rel=0.01)
+    assert sum(got[d]["score"] for d in held) > 0.7 * sum(got[d]["base_score"] for d in held)  # the context tells a lot
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    words, model = 30, hpylm.Model(0.7, 0.6, 30)
+    c = rng.poisson(0.8, (words, words))
+    seed = np.arange(words * words, dtype=np.uint64)
+    t = np.minimum(c, 1)
+    q, r = t.sum(0), np.minimum(t.sum(0), 1)
+    model.customers.append(int(q.sum())), model.tables.append(int(r.sum()))
+    u, w = np.divmod(np.arange(words * words), words)
+    for sweep in range(3):
+        t = model.seat_pairs(c.ravel(), t.ravel(), t.sum(1)[u], q[w], r[w], seed, sweep).reshape(words, words)
+        q = t.sum(0)
+        r = model.seat_words(q, r, seed[:words], sweep)
+        model.customers.append(int(q.sum())), model.tables.append(int(r.sum()))
+        assert (t <= c).all() and (t >= (c > 0)).all() and (r <= q).all() and (r >= (q > 0)).all()
+        p = model.predictive(c.ravel(), t.ravel(), t.sum(1)[u], c.sum(1)[u], q[w], r[w], sweep + 1).reshape(words, words)
+        unknown = model.predictive(0, 0, t.sum(1), c.sum(1), 0, 0, sweep + 1)
+        assert np.allclose(p.sum(1) + unknown, 1)
+
+
+def test_seating():
+    n = 4000
+    const = lambda at, t: np.full(len(at), 0.5)
+    draws = hpylm.seat(np.full(n, 5), np.arange(n, dtype=np.uint64), 0, const, 0.0)
+    assert abs(draws.mean() - (1 + sum(0.5 / (0.5 + j) for j in range(1, 5)))) < 0.06  # a Dirichlet restaurant of weight 0.5
+    t = hpylm.seat(np.array([0, 1, 2, 31, 33, 10_000]), np.arange(6, dtype=np.uint64), 1, lambda at, t: 1 + 0.7 * t, 0.7)
+    assert (t <= [0, 1, 2, 31, 33, 10_000]).all() and (t >= [0, 1, 1, 1, 1, 1]).all()
+    for k, p in ((1, 0.3), (40, 0.02), (40, 0.97), (500, 0.4)):
+        x = hpylm._binomial(np.full(n, k), np.full(n, p), np.arange(n, dtype=np.uint64), 3)
+        assert abs(x.mean() - k * p) < 5 * math.sqrt(k * p * (1 - p) / n) + 0.02 and abs(x.std() - math.sqrt(k * p * (1 - p))) < 0.1 * math.sqrt(k * p * (1 - p)) + 0.02
+
+
+def test_packed_arrays():
     rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 31, 33, 10_000])
-    t = hpylm.seat(c, np.full(6, 0.01), 100.0, 0.7, rng)
-    assert (t <= c).all() and (t >= (c > 0)).all()
-    draws = np.array([hpylm.seat(np.array([5]), np.array([0.5]), 0.0, 0.0, rng)[0] for _ in range(4000)])
-    want = 1 + sum(0.5 / (0.5 + j) for j in range(1, 5))  # a Dirichlet restaurant of weight 0.5
-    assert abs(draws.mean() - want) < 0.06
+    arrays = [np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), np.empty(0, np.int32), np.array([-5, 7], np.int64), np.array([1, 0, 1], np.uint8)]
+    for a, b in zip(arrays, hpylm.unpack(hpylm.pack(*arrays)), strict=True):
+        assert a.dtype == b.dtype and (a == b).all()
+    assert (hpylm.whole(hpylm.steps(arrays[0])) == arrays[0]).all()
+
+
+def test_very_long_and_odd_texts(spark):
+    rng = random.Random(6)
+    long = " ".join(rng.choice(WORDS) for _ in range(300_000))
+    docs = [(2, long), (3, long), (4, "a " * 100_000), (5, None), (5, ""), (None, "x"), (6, "\t\n"), (7, "É" * 70_000)]
+    rows = hpylm.score(spark.createDataFrame([(*d, "y") for d in docs], "doc_id long, text string, kind string")).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted([300_001, 300_001, 100_001, 1, 1, 2, 1, 2])
+    assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
 
 
 def test_scores_without_training_texts(spark):
