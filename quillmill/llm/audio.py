@@ -4,9 +4,13 @@ A clip is stored as a mono 8-bit PCM WAVE file in a binary column. Features come
 bytes: samples are centred and resampled by ``up / down`` with a windowed-sinc filter in polyphase
 form, cut into overlapping windows, and turned into log-mel energies; frames are then segmented by
 hysteresis on their energy (a span opens above the upper and closes below the lower threshold, both
-relative to the clip's mean level). Each span carries a tensor of fixed shape (``SPAN_FRAMES`` pooled
-frames by ``MELS`` bands) and its start and end in seconds; ``tensors`` gives the Arrow column of
-fixed-shape tensors.
+relative to the clip's mean level). The frames of each span are cut into windows of ``FRAMES``, and each
+window is a tensor of fixed shape (``FRAMES`` by ``MELS``) with its start and end in seconds and the number
+of its frames; a last window that is short repeats its last frame.
+
+``write_features`` stores the tensors in Parquet files with Arrow's fixed-shape tensor type, beside a
+file with a row for each clip, and ``read_features`` and ``read_tensors`` read these files. Files get
+temporary names until the manifest that lists them is safe.
 
 Long clips are worked on in blocks of frames, so the memory beyond the samples themselves is bounded.
 Every clip is computed alone with the same shapes, so equal clips have equal features.
@@ -29,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmill.llm.common import slices
+from quillmill.llm import shards
+from quillmill.llm.common import filesystem, releasing, slices
 
 BLOCK = 64
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 12  # taps for each phase
-WINDOW, HOP, MELS, SPAN_FRAMES = 256, 128, 24, 8
+RATE, UP, DOWN, TAPS = 8000, 3, 5, 12  # taps for each phase
+WINDOW, HOP, MELS, FRAMES = 256, 128, 24, 16
 OPEN_DB, CLOSE_DB = -6.0, -12.0
 FRAMES_AT_ONCE = 4096
 
@@ -98,7 +103,7 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
 
 
 @lru_cache(maxsize=4)
-def mel_bank(rate: int, window: int, mels: int) -> np.ndarray:
+def mel_bank(rate: float, window: int, mels: int) -> np.ndarray:
     """Triangular bands on the mel scale, ``window // 2 + 1`` by ``mels``."""
     top = 2595 * np.log10(1 + rate / 2 / 700)
     edges = 700 * (10 ** (np.linspace(0, top, mels + 2) / 2595) - 1)
@@ -112,7 +117,7 @@ def _hann(n: int) -> np.ndarray:
     return np.hanning(n + 1)[:-1].astype(np.float32)
 
 
-def log_mel(y: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+def log_mel(y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies of overlapped windows and the energy of each window in dB."""
     frames = 1 + max(0, -(-(len(y) - WINDOW) // HOP))
     y = np.concatenate([y, np.zeros((frames - 1) * HOP + WINDOW - len(y), np.float32)])
@@ -138,23 +143,21 @@ def hysteresis(level: np.ndarray, opens: float, closes: float) -> list[tuple[int
     return [(int(a), int(b)) for a, b in edges[loud[edges[:, 1]] > loud[edges[:, 0]]]]
 
 
-def spans_of(samples: bytes, rate: int = RATE) -> list[tuple[float, float, np.ndarray]]:
-    """Start and end in seconds and the pooled log-mel tensor of each energy span."""
+def windows_of(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end in seconds, number of frames and log-mel tensor of each window of the energy spans."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32)
     x -= 128
     x /= 128
     y = resample(x)
-    new_rate = rate * UP // DOWN
+    new_rate = rate * UP / DOWN
     mel, level = log_mel(y, new_rate)
     mean = float(level.mean())
-    out = []
-    for a, b in hysteresis(level, mean + OPEN_DB, mean + CLOSE_DB):
-        cuts = a + (b - a) * np.arange(SPAN_FRAMES) // SPAN_FRAMES
-        ends = np.maximum(cuts + 1, np.append(cuts[1:], b))
-        sums = np.concatenate([np.zeros((1, MELS)), np.cumsum(mel[a:b], axis=0, dtype=np.float64)])
-        pooled = (sums[ends - a] - sums[cuts - a]) / (ends - cuts)[:, None]
-        out.append((a * HOP / new_rate, min(len(y), (b - 1) * HOP + WINDOW) / new_rate, pooled.astype(np.float32)))
-    return out
+    cuts = [(s, min(s + FRAMES, b)) for a, b in hysteresis(level, mean + OPEN_DB, mean + CLOSE_DB) for s in range(a, b, FRAMES)]
+    if not cuts:
+        return np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros((0, FRAMES, MELS), np.float32)
+    first, end = np.array(cuts, np.int64).T
+    at = np.minimum(first[:, None] + np.arange(FRAMES), end[:, None] - 1)
+    return first * HOP / new_rate, np.minimum(len(y), (end - 1) * HOP + WINDOW) / new_rate, (end - first).astype(np.int32), mel[at]
 
 
 # ---- DataFrames
@@ -175,42 +178,143 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
     return df.mapInArrow(run, out.add(size, T.LongType()).add(media, T.BinaryType()))
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("t0", T.DoubleType()), T.StructField("t1", T.DoubleType()), T.StructField("tensor", T.ArrayType(T.FloatType(), False))]))
+#: Half precision: log energies need no more, and the files are half as large.
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS), dim_names=("frame", "band"))
+TENSORS = pa.schema([("clip", pa.int64()), ("t0", pa.float64()), ("t1", pa.float64()), ("frames", pa.int32()), ("tensor", TENSOR)])
+FACTS = T.StructType(
+    [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("windows", T.LongType())]
+)
+
+
+def _tensor_batch(clip: int, t0: np.ndarray, t1: np.ndarray, frames: np.ndarray, tensors: np.ndarray) -> pa.RecordBatch:
+    values = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel().astype(np.float16)), FRAMES * MELS)
+    arrays = [pa.array(np.full(len(t0), clip)), pa.array(t0), pa.array(t1), pa.array(frames), pa.ExtensionArray.from_storage(TENSOR, values)]
+    return pa.RecordBatch.from_arrays(arrays, schema=TENSORS)
 
 
-def features(df: DataFrame, media: str = "media", spans: str = "spans", facts: bool = False) -> DataFrame:
-    """``df`` without its media column, with the spans of each clip.
+def write_features(df: DataFrame, folder: str, media: str = "media") -> DataFrame:
+    """Features of each clip of ``df`` in files below ``folder``; returns the manifest.
 
-    With ``facts`` it also has the digests of the stored file and of the samples read back from it.
+    Each task writes two files: the other columns of ``df`` with facts of the stored file and the number
+    of windows, a row for each clip, and the tensors of all clips in the same order.
     """
-    out = T.StructType([f for f in df.schema.fields if f.name not in (media, spans)])
-    keep = [f.name for f in out.fields]
-    extra = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())] if facts else []
-    for name, kind in extra:
-        out = out.add(name, kind)
-    kind = pa.list_(pa.struct([pa.field("t0", pa.float64()), pa.field("t1", pa.float64()), pa.field("tensor", pa.list_(pa.float32()))]))
+    keep = [f.name for f in df.schema.fields if f.name != media and f.name not in FACTS.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        files, clips, tensors, n, m = shards.Files(folder, ".parquet"), None, None, 0, 0
+        streams = []
         for batch in slices(batches, 256):
-            files = batch.column(media).to_pylist()
-            samples = [wave_samples(f) for f in files]
-            cols = [batch.column(c) for c in keep]
-            if facts:
-                cols += [
-                    pa.array([len(s) for s in samples], pa.int64()),
-                    pa.array([hashlib.sha256(s).hexdigest() for s in samples]),
-                    pa.array([zlib.crc32(s[-BLOCK:]) for s in samples], pa.int64()),
-                    pa.array([len(f) for f in files], pa.int64()),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                ]
-            got = [[{"t0": a, "t1": b, "tensor": t.ravel()} for a, b, t in spans_of(s)] for s in samples]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, kind)], names=[*keep, *(n for n, _ in extra), spans])
-
-    return df.mapInArrow(run, out.add(spans, SPANS))
-
-
-def tensors(table: pa.Table, column: str = "tensor") -> pa.ExtensionArray:
-    """The tensor column of a collected or file-read table as Arrow fixed-shape tensors."""
-    flat = table.column(column).combine_chunks()
-    values = pa.FixedSizeListArray.from_arrays(flat.flatten(), SPAN_FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (SPAN_FRAMES, MELS)), values)
+            if not batch.num_rows:
+                continue
+            stored = batch.column(media).to_pylist()
+            samples = [wave_samples(f) for f in stored]
+            got = [windows_of(s) for s in samples]
+            facts = [
+                pa.array([len(s) for s in samples], pa.int64()),
+                pa.array([hashlib.sha256(s).hexdigest() for s in samples]),
+                pa.array([zlib.crc32(s[-BLOCK:]) for s in samples], pa.int64()),
+                pa.array([len(f) for f in stored], pa.int64()),
+                pa.array([hashlib.sha256(f).hexdigest() for f in stored]),
+                pa.array([len(g[0]) for g in got], pa.int64()),
+            ]
+            rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *facts], names=[*keep, *FACTS.names])
+            if clips is None:
+                shard = TaskContext.get().partitionId()
+                streams = [files.open(shard, 0), files.open(shard, 1)]
+                clips, tensors = pq.ParquetWriter(streams[0], rows.schema, compression="zstd"), pq.ParquetWriter(streams[1], TENSORS, compression="zstd")
+            clips.write_batch(rows)
+            made = [_tensor_batch(n + k, *g) for k, g in enumerate(got) if len(g[0])]
+            if made:
+                tensors.write_table(pa.Table.from_batches(made))
+            n, m = n + len(got), m + sum(len(g[0]) for g in got)
+        if clips is None:
+            return
+        clips.close(), tensors.close()
+        sizes = [s.tell() for s in streams]
+        for s in streams:
+            s.close()
+        for k, (rows, size) in enumerate(zip((n, m), sizes, strict=True)):
+            files.rows[k] |= {"rows": rows, "units": rows, "bytes": size}
+        yield files.batch()
+
+    return shards.commit(df.mapInArrow(lambda batches: releasing(run(batches)), shards.MANIFEST), folder)
+
+
+def _open(path: str):
+    import pyarrow.parquet as pq
+
+    fs, place = filesystem(path)
+    return pq.ParquetFile(fs.open_input_file(place))
+
+
+def _tensors_of(path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of a tensor file; its type must be the one it was written with."""
+    file = _open(path)
+    if file.schema_arrow.field("tensor").type != TENSOR:
+        raise ValueError(f"{path} holds no tensors of this shape")
+    yield from file.iter_batches(batch_size=1024)
+
+
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("tensor").storage.flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def read_tensors(manifest: DataFrame) -> DataFrame:
+    """shard, clip (its place in the shard's file of clips), t0, t1, frames and the flat tensor of each window."""
+    out = "shard int, clip long, t0 double, t1 double, frames int, tensor array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                for t in _tensors_of(path):
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(_values(t).ravel().astype(np.float32)), FRAMES * MELS).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * t.num_rows, pa.int32()), *(t.column(c) for c in ("clip", "t0", "t1", "frames")), flat], names=["shard", "clip", "t0", "t1", "frames", "tensor"])
+
+    files = manifest.where("file = 1").select("shard", "path")
+    return files.repartition(max(1, files.count())).mapInArrow(run, out)
+
+
+def read_features(manifest: DataFrame, columns: T.StructType) -> DataFrame:
+    """Each clip's ``columns``, facts and ``feature``: the number of its windows and a digest of them, from the tensors as they were stored."""
+    out = T.StructType([*columns.fields, *FACTS.fields, T.StructField("feature", T.StringType())])
+    names = [f.name for f in out.fields][:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                windows = _windows(path.replace("-00000.parquet", "-00001.parquet"))
+                for rows in _open(path).iter_batches(batch_size=1024, columns=names):
+                    found = []
+                    for n in rows.column("windows").to_pylist():
+                        digest, left = hashlib.sha256(), n
+                        while left:
+                            part = windows.send(left)
+                            left -= part[0]
+                            digest.update(part[1])
+                        found.append(f"{n}:{digest.hexdigest()}")
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(found)], names=[*names, "feature"])
+
+    files = manifest.where("file = 0").select("path")
+    return files.repartition(max(1, files.count())).mapInArrow(lambda batches: releasing(run(batches)), out)
+
+
+def _windows(path: str):
+    """Answers each number of windows sent with how many it has next, at most so many, and their bytes: times to 0.1 ms, and tensors as stored."""
+
+    def blocks():
+        wanted = yield None
+        for t in _tensors_of(path):
+            times = np.round(np.stack([t.column("t0").to_numpy(), t.column("t1").to_numpy()], axis=1) * 1e4).astype("<i8")
+            values = _values(t).astype("<f2")
+            frames, at = t.column("frames").to_numpy().astype("<i4"), 0
+            while at < t.num_rows:
+                end = min(at + wanted, t.num_rows)
+                wanted = yield end - at, b"".join(x for k in range(at, end) for x in (times[k].tobytes(), frames[k].tobytes(), values[k].tobytes()))
+                at = end
+
+    out = blocks()
+    next(out)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import audio, decontaminate, hpylm, near_dup, piece_bpe, pii, quality, token_files, toxicity, warc
-from quillmill.llm.common import written
+from quillmill.llm.common import fresh, written
 from quillmill.sources.tables import spread
 
 
@@ -38,11 +38,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as 8-bit audio in Parquet, read back, with a digest of their span features."""
+    """Texts stored as 8-bit audio in Parquet, read back, and a digest of their tensors as stored and read back."""
     stored = written(audio.store(_documents(spark, sf_dir).select("doc_id", "text")), "media")
-    found = audio.features(stored, facts=True)
-    whole = F.transform("spans", lambda s: F.concat_ws(":", F.round(s["t0"], 4).cast("string"), F.round(s["t1"], 4).cast("string"), F.concat_ws(" ", F.transform(s["tensor"], lambda v: F.round(v.cast("double"), 3).cast("string")))))
-    return found.withColumn("feature", F.concat(F.size("spans").cast("string"), F.lit(":"), F.sha2(F.concat_ws(",", whole), 256))).drop("spans")
+    manifest = audio.write_features(stored, fresh(spark, "tensors"))
+    return audio.read_features(manifest, stored.drop("media").schema).drop("windows")
 
 
 def op4_bit_packed(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -234,12 +234,43 @@ def test_op3(spark, sf):
         assert seen.setdefault(p, r["feature"]) == r["feature"]
 
 
-def test_tensors(spark):
-    df = spark.createDataFrame([(1, LONG), (2, None)], "doc_id long, text string")
-    rows = audio.features(audio.store(df)).selectExpr("doc_id", "inline(spans)").toArrow()
-    t = audio.tensors(rows)
-    assert t.type.shape == [audio.SPAN_FRAMES, audio.MELS] and t.to_numpy_ndarray().shape[0] == rows.num_rows >= 2
-    assert audio.features(audio.store(df.limit(0))).count() == 0
+def test_windows_cover_the_spans():
+    rng = np.random.default_rng(5)
+    loud = (128 + 100 * np.sin(np.arange(30_000))).astype(np.uint8)
+    samples = np.concatenate([np.full(20_000, 128, np.uint8), loud, np.full(9_000, 128, np.uint8), loud[:3000], rng.integers(120, 136, 5_000).astype(np.uint8)]).tobytes()
+    t0, t1, frames, tensors = audio.windows_of(samples)
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    mel, level = audio.log_mel(audio.resample(x), 4800)
+    spans = audio.hysteresis(level, level.mean() + audio.OPEN_DB, level.mean() + audio.CLOSE_DB)
+    at = 0
+    for a, b in spans:  # frame after frame
+        for f in range(a, b):
+            k, j = divmod(f - a, audio.FRAMES)
+            assert (tensors[at + k, j] == mel[f]).all() and abs(t0[at + k] - (f - j) * audio.HOP / 4800) < 1e-9
+        n = -(-(b - a) // audio.FRAMES)
+        assert frames[at : at + n].sum() == b - a and (tensors[at + n - 1, frames[at + n - 1] - 1 :] == mel[b - 1]).all()
+        at += n
+    assert at == len(t0) >= 4 and (t1 > t0).all()
+
+
+def test_tensors_are_stored_with_their_type(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(1, LONG, 7), (2, None, None), (None, "short", 7), (1, LONG, 8)], "doc_id long, text string, windows int")
+    stored = audio.store(df.coalesce(1))
+    manifest = audio.write_features(stored, "file://" + str(tmp_path / "out"))
+    paths = {r["file"]: r["path"] for r in manifest.collect()}
+    assert pq.read_schema(paths[1].removeprefix("file://")).field("tensor").type == audio.TENSOR
+    rows = audio.read_tensors(manifest).collect()
+    clips = [LONG, None, "short", LONG]
+    got = {k: [(r["t0"], r["t1"], r["frames"], r["tensor"]) for r in rows if r["clip"] == k] for k in range(4)}
+    for k, text in enumerate(clips):
+        want = audio.windows_of(audio.payload(text))
+        assert len(got[k]) == len(want[0]) and all(np.allclose(np.array(g[3], np.float32), w.ravel(), atol=0.01) for g, w in zip(got[k], want[3], strict=True))
+    found = audio.read_features(manifest, stored.drop("media", "windows").schema).collect()
+    assert [r["feature"] for r in found if r["doc_id"] == 1][0] == [r["feature"] for r in found if r["doc_id"] == 1][1] and len(found) == 4
+    empty = audio.write_features(audio.store(df.limit(0)), "file://" + str(tmp_path / "none"))
+    assert empty.count() == 0 and audio.read_features(empty, stored.drop("media", "windows").schema).count() == 0 and audio.read_tensors(empty).count() == 0
 
 
 # ---- archives
@@ -290,3 +321,36 @@ def test_equals_duckdb(spark, sf, name):
     from quillmill.llm import queries
 
     same(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE_SQL[name])
+
+
+# ---- shards
+
+
+@pytest.mark.parametrize("ids", [list(range(0, 50_000, 7)), [0, 10**18, *range(500, 4500)], [5] * 3000 + list(range(2000)), [-(2**62), 2**62, *range(-1500, 1500)], [None, 3, None], [None]])
+def test_borders_follow_the_keys(spark, ids):
+    df = spark.createDataFrame([(i, 10) for i in ids], "id long, n long")
+    shard, n = shards.borders(df, "id", F.col("n"), 1000)
+    got = df.select("id", shard.alias("s")).collect()
+    keyed = sorted((r["id"], r["s"]) for r in got if r["id"] is not None)
+    assert all(r["s"] == 0 for r in got if r["id"] is None)
+    assert [s for _, s in keyed] == sorted(s for _, s in keyed) and all(0 <= s < n for _, s in keyed)
+    sizes, alone = {}, {}
+    for i, s in keyed:
+        sizes[s] = sizes.get(s, 0) + 10
+        alone.setdefault(s, set()).add(i)
+    assert all(w <= 1000 or len(alone[s]) == 1 for s, w in sizes.items())
+
+
+def test_hot_payloads(spark):
+    from quillmill.llm import warc
+
+    rows = [(i, f"u{i}", "same" if i % 3 else f"page {i // 6}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    last = {}
+    for i, _, h in rows:
+        last[h] = i
+    assert len(got) == 6000
+    for i, _, h in rows:
+        want = ("response", None) if last[h] == i else ("revisit", last[h])
+        assert (got[i]["record_type"], got[i]["refers_to"]) == want
