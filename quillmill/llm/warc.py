@@ -7,8 +7,8 @@ temporary names, and are renamed after the manifest that lists them is safe.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page id is
 the response and the others are revisits that name it. The group of each payload is found by
-aggregating digests, which combines on the map side, so a payload that a third of all pages share
-moves a row for each task. Payloads move once, for the range sort; the decisions travel as rows of
+aggregating digests, which combines on the map side, and a group that many pages share is broadcast to
+its rows, so a payload that a third of all pages share moves a row for each task. Payloads move once, for the range sort; the decisions travel as rows of
 their own and are merged into the sorted stream just before the records they are for.
 
 Defined results: null html is the empty payload; an empty payload counts as a payload. Null page ids
@@ -108,12 +108,30 @@ class RollingWriter:
             self.stream, self.rows, self.units, self.size = None, 0, 0, 0
 
 
+#: Payload groups that may be broadcast; a group larger than its share of all rows is one of at most so many.
+HOT_GROUPS = 10_000
+
+
+def _decisions(slim: DataFrame) -> DataFrame:
+    """id, sha and keep (the largest id of the payload) of all rows whose payload occurs more than once.
+
+    Groups with more than a ten-thousandth of all rows, of which there can't be more than ten thousand, are
+    broadcast to where their rows are; the others, each of which is small, are joined by a shuffle.
+    """
+    groups = written(slim.groupBy("sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
+    rows = groups.agg(F.sum("copies")).first()[0] or 0
+    large = max(1000, -(-rows // HOT_GROUPS))
+    hot, rest = groups.where(F.col("copies") > large).drop("copies"), groups.where(F.col("copies") <= large).drop("copies")
+    near = slim.join(F.broadcast(hot), "sha").select("id", "sha", "keep")
+    far = slim.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(rest.hint("merge"), "sha").select("id", "sha", "keep")
+    return near.unionByName(far).groupBy("id", "sha").agg(F.first("keep").alias("keep"))
+
+
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 64 << 20) -> DataFrame:
     """Write the archives to ``folder``; returns the manifest."""
     source = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     slim = written(source.select("id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("n")), "payloads")
-    groups = slim.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    decisions = slim.where(F.col("n") >= min_bytes).join(groups, "sha").groupBy("id", "sha").agg(F.first("keep").alias("keep"))
+    decisions = _decisions(slim.where(F.col("n") >= min_bytes).select("id", "sha"))
     both = source.select("id", "url", "html", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("keep"), F.lit(1).alias("kind")).unionByName(
         decisions.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", "keep", F.lit(0).alias("kind"))
     )
