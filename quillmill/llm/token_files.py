@@ -29,16 +29,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm import shards
-from quillmill.llm.common import filesystem, fresh, text_of
+from quillmill.llm.common import filesystem, fresh, releasing, text_of
 
 BLOCK_IDS = 8192
 MAGIC = b"QTOK"
 NO_ID = -(2**63)
 KEPT_STRINGS = 550_000
+#: Shards whose sizes are summed up in one task.
+GROUP = 4096
 
 _SPACE = "\t-\r \x85\xa0  -     　"  # White_Space in Unicode
 #: Letters up to a mark, digit, space or the end (which always end a pre-token), other strings without white space, white space.
@@ -242,7 +245,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, doc_id:
             files.done(len(writer.doc), writer.total, size)
             yield files.batch()
 
-    return shards.commit(dealt.mapInArrow(run, shards.MANIFEST), folder)
+    return shards.commit(dealt.mapInArrow(lambda batches: releasing(run(batches)), shards.MANIFEST), folder)
 
 
 READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
@@ -250,14 +253,15 @@ READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start
 
 def read(manifest: DataFrame, ids: bool = True) -> DataFrame:
     """One row for each document of the files: where its ids start among all, their number, checksum and, if wanted, the ids."""
-    spark = manifest.sparkSession
-    rows = manifest.select("path", "units").orderBy("path").collect()  # one row a file
-    base, at = [], 0
-    for r in rows:
-        base.append((r["path"], at))
-        at += r["units"]
     out = READ if ids else T.StructType(READ.fields[:-1])
-    files = spark.createDataFrame(base, "path string, base long").repartition(max(1, len(base)))
+    # sums of the files before: in groups of shards, so that no task sees all files
+    rows = manifest.select("path", "shard", "file", "units", F.floor(F.col("shard") / GROUP).alias("g"))
+    groups = rows.groupBy("g").agg(F.sum("units").alias("units"))
+    before = W.partitionBy(F.lit(0)).orderBy("g").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.select("g", F.coalesce(F.sum("units").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("g").orderBy("shard", "file").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("units").over(inside), F.lit(0))).join(F.broadcast(groups), "g")
+    files = rows.select("path", (F.col("_start") + F.col("_own")).cast("long").alias("base")).repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
