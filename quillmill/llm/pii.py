@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton reads a text once and reports anchors: at-signs, plus signs, digits,
-``://`` and identifier cues (words that announce an account, key prefixes, street types). Around
+``://`` and identifier cues (words that announce an account or a secret, key prefixes, street types). Around
 each anchor a small deterministic parser expands the boundaries to both sides and validates what it
 found. Parsers never look at a character more than a bounded number of times, so the work is linear
 even on texts made of anchors.
@@ -15,8 +15,9 @@ not tried again in another extent:
 * ``phone``  ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 Kinds the anchors add: ``url``, ``account`` (an identifier after a cue; IBANs must pass their check
-digits), ``key`` (access keys with a known prefix) and ``address`` (house number, capitalised words,
-street type).
+digits), ``key`` (access keys with a known prefix, private key blocks), ``secret`` (a value assigned to a word
+like token or password, with a digit in it) and ``address`` (house number, capitalised words and a street
+type, in the order that English, French, German and Spanish have).
 
 Defined results: null and the empty text have no spans; positions are code points with the end
 exclusive; repeated rows get the same spans each; further columns pass through, and one with the
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from quillmill.llm.common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account", "key", "address")
+KINDS = (*BASE_KINDS, "url", "account", "key", "secret", "address")
 
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), False
@@ -51,13 +52,28 @@ LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 
 ACCOUNT_CUES = ("iban", "account", "acct", "routing", "passport", "ssn", "konto", "cuenta", "compte")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential")
 STREET_TYPES = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Square", "Court")
-KEY_PREFIXES = {"AKIA": 20, "ASIA": 20, "ghp_": 40}
+#: Street types that stand between number and name, at the end of a name before the number, and before name and number.
+STREETS_FR = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai")
+STREETS_DE = ("straße", "strasse", "weg", "platz", "allee", "gasse")
+STREETS_ES = ("Calle", "Avenida", "Plaza", "Paseo", "Camino")
+#: Lengths of what follows a prefix of a key, and whether it is capitals and digits only.
+KEY_PREFIXES = {"AKIA": (16, 16, True), "ASIA": (16, 16, True), "AIza": (35, 35, False), "glpat-": (20, 20, False), "npm_": (36, 36, False)}
+KEY_PREFIXES |= {f"gh{k}_": (36, 36, False) for k in "pousr"} | {f"xox{k}-": (20, 100, False) for k in "abprs"} | {p: (16, 100, False) for p in ("sk_live_", "sk_test_", "sk-")}
+KEY = ALNUM | frozenset("_-")
+PEM = "-----BEGIN "
 
 _AFTER_CUE = r"(?![A-Za-z])[ ]?(?:(?:[Nn]o|[Nn]r|[Nn]umber|[Nn]um)\b\.?)?[ :#=]{0,4}"
 _ACCOUNT = re.compile(_AFTER_CUE + r"([A-Za-z]{0,3}[0-9](?:[ -]?[0-9]){5,30})(?![A-Za-z0-9])")
 _IBAN = re.compile(_AFTER_CUE + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _STREET = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z.'-]{0,20}){1,4} $")
+_STREET_FR = (re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}(?: ?(?:bis|ter))?,? $"), re.compile(r"(?:(?: (?:de|du|des|la|le|les)\b)|(?: [dl]['’]))* ?[A-ZÀ-Ý][\w'-]{1,20}(?: [A-ZÀ-Ý][\w'-]{1,20}){0,3}"))
+_STREET_DE = (re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]{1,30}$"), re.compile(r" [0-9]{1,4} ?[a-z]?(?!\w)"))
+_STREET_ES = re.compile(r"(?: (?:de|del|la|el|los|las)\b)* [A-ZÁÉÍÓÚÑ]\w{1,20}(?: [A-ZÁÉÍÓÚÑ]\w{1,20}){0,3},? (?:n[.º°]? ?)?[0-9]{1,5}(?!\w)")
+_SECRET = re.compile(r"""(?:[A-Za-z0-9_]{0,20})["']?[ ]{0,3}(?:[:=]|=>)[ ]{0,3}["']?([A-Za-z0-9_+/=.~!@#$%^&*-]{8,512})""")
+_BEARER = re.compile(r" ([A-Za-z0-9_+/=.-]{16,512})")
+_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _URL_END = re.compile(r"[\s<>\"'`]")
 
 
@@ -74,8 +90,15 @@ def automaton() -> ahocorasick.Automaton:
             a.add_word(form, ("a", len(form)))
     for street in STREET_TYPES:
         a.add_word(street, ("s", len(street)))
+    for what, streets in (("f", STREETS_FR), ("g", STREETS_DE), ("e", STREETS_ES)):
+        for street in streets:
+            a.add_word(street, (what, len(street)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.title()}:
+            a.add_word(form, ("t", len(form)))
     for prefix in KEY_PREFIXES:
         a.add_word(prefix, ("k", len(prefix)))
+    a.add_word(PEM, ("p", len(PEM)))
     a.make_automaton()
     return a
 
@@ -111,7 +134,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     n = len(text)
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_floor = ip_floor = card_floor = phone_floor = url_floor = account_floor = 0
+    email_floor = ip_floor = card_floor = phone_floor = url_floor = account_floor = key_floor = secret_floor = address_floor = 0
     for last, (what, size) in automaton().iter(text):
         if what == "d":
             if last >= ip_floor:
@@ -152,15 +175,47 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     account_floor = m.end(1)
         elif what == "k":
             start = last - size + 1
-            end = start + KEY_PREFIXES[text[start : last + 1]]
+            least, most, capitals = KEY_PREFIXES[text[start : last + 1]]
+            end = last + 1
+            while end < n and end - last <= most + 1 and text[end] in KEY:
+                end += 1
             body = text[last + 1 : end]
-            if end <= n and ALNUM.issuperset(body) and text[max(0, start - 1) : start] not in ALNUM and text[end : end + 1] not in ALNUM and (size == 4 and text[last] == "_" or body == body.upper()):
+            if start >= key_floor and least <= len(body) <= most and text[max(0, start - 1) : start] not in ALNUM and (ALNUM.issuperset(body) and body == body.upper() if capitals else not DIGITS.isdisjoint(body)):
                 out["key"].append((start, end))
+                key_floor = end
+        elif what == "p":
+            start = last - size + 1
+            if start >= key_floor and (m := _PEM.match(text, start)):
+                out["key"].append(m.span())
+                key_floor = m.end()
+        elif what == "t":
+            start = last - size + 1
+            if start >= secret_floor and text[max(0, start - 1) : start] not in ALNUM:
+                m = _SECRET.match(text, last + 1) or (_BEARER.match(text, last + 1) if text[start : last + 1].lower() == "bearer" else None)
+                if m and not DIGITS.isdisjoint(m[1]):
+                    out["secret"].append(m.span(1))
+                    secret_floor = m.end(1)
+        elif what == "f":
+            start = last - size + 1
+            if start >= address_floor and (a := _STREET_FR[0].search(text[max(0, start - 12) : start])) and (m := _STREET_FR[1].match(text, last + 1)):
+                out["address"].append((max(0, start - 12) + a.start(), m.end()))
+                address_floor = m.end()
+        elif what == "g":
+            start = last - size + 1
+            if start >= address_floor and (m := _STREET_DE[1].match(text, last + 1)) and (a := _STREET_DE[0].search(text[max(0, start - 32) : start])):
+                out["address"].append((max(0, start - 32) + a.start(), m.end()))
+                address_floor = m.end()
+        elif what == "e":
+            start = last - size + 1
+            if start >= address_floor and text[max(0, start - 1) : start] not in ALNUM and (m := _STREET_ES.match(text, last + 1)):
+                out["address"].append((start, m.end()))
+                address_floor = m.end()
         else:
             start = last - size + 1
-            if text[last + 1 : last + 2] not in ALNUM and (m := _STREET.search(text[max(0, start - 100) : start])):
+            if start >= address_floor and text[last + 1 : last + 2] not in ALNUM and (m := _STREET.search(text[max(0, start - 100) : start])):
                 out["address"].append((max(0, start - 100) + m.start(), last + 1))
-    return [(k, s, e) for k in KINDS for s, e in out[k]]
+                address_floor = last + 1
+    return [(k, s, e) for k in KINDS for s, e in sorted(out[k])]
 
 
 def _domain(text: str, at: int, n: int) -> int:

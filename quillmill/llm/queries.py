@@ -29,6 +29,7 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS),
         F.sha2(pii.joined(pii.base(F.col("spans"))), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_all"),
     )
 
 

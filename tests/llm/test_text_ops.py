@@ -51,8 +51,32 @@ def test_pii_added_kinds_and_mask():
     assert pii.find_spans("bad IBAN: DE89 3704 0044 0532 0130 01") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "hit"),
+    [
+        ('x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"),
+        ("PASSWORD: hunter2hunter", "secret", "hunter2hunter"),
+        ("Authorization: Bearer abcdefgh12345678ijkl", "secret", "abcdefgh12345678ijkl"),
+        ("ghp_" + "a1" * 18, "key", "ghp_" + "a1" * 18),
+        ("key xoxb-123456789012-abcdefghij.", "key", "xoxb-123456789012-abcdefghij"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY----- z", "key", "-----BEGIN RSA PRIVATE KEY-----\nMIIE\n-----END RSA PRIVATE KEY-----"),
+        ("au 12 bis, rue de la Paix à", "address", "12 bis, rue de la Paix"),
+        ("in der Hauptstraße 12a wohnt", "address", "Hauptstraße 12a"),
+        ("vive en Calle de Alcalá, 45 hoy", "address", "Calle de Alcalá, 45"),
+        ("12 Oak Tree Street", "address", "12 Oak Tree Street"),
+    ],
+)
+def test_pii_cues(text, kind, hit):
+    assert [(k, text[s:e]) for k, s, e in pii.find_spans(text) if k not in ("phone", "card")] == [(kind, hit)]
+
+
+@pytest.mark.parametrize("text", ["the token of my love", "password: unknownword", "a rue day", "der Weg ist 12 lang", "AKIA", "sk-", "token = ", "-----BEGIN CERTIFICATE-----"])
+def test_pii_leaves_plain_words(text):
+    assert pii.find_spans(text) == []
+
+
 def test_pii_linear_on_anchors():
-    for t in ("1." * 50_000, "+1" * 50_000, "a@" * 50_000, "://" * 50_000, "iban 1" * 20_000):
+    for t in ("1." * 50_000, "+1" * 50_000, "a@" * 50_000, "://" * 50_000, "iban 1" * 20_000, "token=" * 40_000, "-----BEGIN " * 5000, "rue" * 50_000, "sk-" * 50_000, "Calle A " * 20_000):
         pii.find_spans(t)
 
 
