@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +21,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (local tests) a temporary folder of this machine is made and
-    becomes the checkpoint folder of the session.
+    Where the setting is absent and the session is a local one (tests) a temporary folder of this
+    machine is made and becomes the checkpoint folder of the session; on a cluster that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = getattr(spark, "_quillmill_dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = spark._quillmill_dir = "file://" + tempfile.mkdtemp(prefix="quillmill-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)

@@ -17,7 +17,7 @@ gives a least size of the difference of two sets and so excludes no link. For ea
 ``BEST`` closest partners are confirmed, and buckets with more are looked at once more with the new
 components and a larger number, until no bucket holds back a pair. Buckets of over ``BLOCK`` members
 are cut into blocks and each two blocks meet. So a link is lost only if its two texts share no
-bucket or if their sketches exclude it (below).
+bucket or if their sketches exclude it (below; ``exact=True`` leaves that out).
 
 With 44 bands of 7 rows a pair with a similarity of 0.8 misses all buckets three times in 100,000, and
 one of 0.85 four times in 100 million.
@@ -156,12 +156,14 @@ def features(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     return docs.mapInArrow(lambda batches: releasing(run(batches), forget), T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in carried), *FEATURES.fields]))
 
 
-def _similar_sketches(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree in at least two thirds of the bins; sets of under 256 members always pass.
+def _similar_sketches(pairs: DataFrame, exact: bool) -> DataFrame:
+    """Pairs whose sketches agree in at least two thirds of the bins; sets of under 256 members always pass, and all do with ``exact``.
 
     At a similarity of 0.8 the share of agreeing bins has a deviation of 0.023; two thirds are
     nearly six deviations below.
     """
+    if exact:
+        return pairs.select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -266,11 +268,11 @@ def _meeting(members: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large.join(met, ["bucket", "part"]).select(*small.columns))
 
 
-def _block_pairs(part: np.ndarray, cls: np.ndarray, n: np.ndarray, least: np.ndarray, marks: list[bytes], percent: int, best: int) -> tuple[set[tuple[int, int]], bool]:
+def _block_pairs(part: np.ndarray, cls: np.ndarray, n: np.ndarray, least: np.ndarray, marks: list[bytes], percent: int, best: int, exact: bool = False) -> tuple[set[tuple[int, int]], bool]:
     """Pairs of different components that the marks let through, the closest ``best`` of each member; and whether there were more."""
     maps = np.frombuffer(b"".join(x[: MARK_BITS // 8] for x in marks), np.uint64).reshape(len(marks), -1)
     sketches, many = None, np.flatnonzero(n >= LARGE)
-    if len(many) > 1:
+    if len(many) > 1 and not exact:
         sketches = np.zeros((len(n), BINS), np.uint16)
         sketches[many] = np.frombuffer(b"".join(marks[i][MARK_BITS // 8 :] for i in many), "<u2").reshape(-1, BINS)
     crossed = part[0] != part[-1] or (part != part[0]).any()
@@ -294,7 +296,7 @@ def _block_pairs(part: np.ndarray, cls: np.ndarray, n: np.ndarray, least: np.nda
     return out, more
 
 
-def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
+def _open_pairs(meeting: DataFrame, percent: int, best: int, exact: bool) -> DataFrame:
     """Candidate pairs (a, b) of all buckets, and a row with ``bucket`` alone for each that holds back pairs."""
     key = ["bucket", "x", "y"]
 
@@ -309,7 +311,7 @@ def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
             pairs, left = set(), set()
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
                 if hi - lo > 1:
-                    found, more = _block_pairs(*(c[lo:hi] for c in cols), marks[lo:hi], percent, best)
+                    found, more = _block_pairs(*(c[lo:hi] for c in cols), marks[lo:hi], percent, best, exact)
                     pairs |= found
                     if more:
                         left.add(int(keys[0, lo]))
@@ -338,8 +340,11 @@ def _open_pairs(meeting: DataFrame, percent: int, best: int) -> DataFrame:
     return meeting.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: releasing(run(batches)), "a long, b long, bucket long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``carried``, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row for each row."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, carried: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """doc_id, the columns ``carried``, n_shingles, component_id (the smallest doc_id reachable over links) and kept, a row for each row.
+
+    With ``exact`` no pair that shares a bucket is excluded by its sketches.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
     facts = written(features(docs, carried), "features")
     # any member's sketch and buckets will do, as they are made from the set alone
@@ -361,7 +366,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     side = classes.select("class", "n", "sketch")
     close = pairs.join(side.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
     close = close.join(side.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
-    tested = written(_similar_sketches(close), "candidates")
+    tested = written(_similar_sketches(close, exact), "candidates")
     links = _confirmed(tested, _sets(_ends(tested), docs, classes), percent)
     labels = None if links.isEmpty() else components(links)
 
@@ -377,7 +382,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if sets is None:
             sets = _sets(members.select("class").distinct(), docs, classes)
             marks = written(_marks(sets), "marks")
-        found = written(_open_pairs(_meeting(members, percent).join(marks, "class"), percent, best), "pairs")
+        found = written(_open_pairs(_meeting(members, percent).join(marks, "class"), percent, best, exact), "pairs")
         close = written(found.where("bucket is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
         if not close.isEmpty():
             tested = tested.unionByName(close)

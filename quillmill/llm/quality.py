@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import slices, text_of, written
+from quillmill.llm.common import BROADCAST_ROWS, slices, text_of, written
 
 DIMENSIONS, GAMMA, RIDGE, SEED = 512, 0.02, 1.0, 20240501
 PARTS, STEPS = 32, 512
@@ -202,11 +202,32 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label of the rows that may be learnt; labels that contradict each other are averaged."""
+    rows = labels.where(learnable(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return rows.select("doc_id", F.col(label).cast("double").alias("label")).where("label in (0, 1)").groupBy("doc_id").agg(F.avg("label").alias("label"))
+
+
+def _spared(labelled: DataFrame) -> Model:
+    return fit(written(labelled.withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("statistics", "label", "spare"), "labelled"))
+
+
 def train(facts: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on the rows of ``facts`` (doc_id, statistics) whose labels may be learnt."""
-    known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where("label in (0, 1)").groupBy("doc_id").agg(F.avg("label").alias("label"))
-    labelled = facts.select("doc_id", "statistics").where(learnable(F.col("doc_id"))).join(known, "doc_id")
-    return fit(written(labelled.withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("statistics", "label", "spare"), "labelled"))
+    return _spared(facts.select("doc_id", "statistics").where(learnable(F.col("doc_id"))).join(_known(labels, label), "doc_id"))
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
+    """As ``train``, from texts: only those that have a label to learn from are looked at.
+
+    With more labels than can be broadcast the statistics are joined instead, so that no text moves.
+    """
+    known = written(_known(labels, label), "labels")
+    source = docs.where(learnable(F.col(doc_id)))
+    if known.count() > BROADCAST_ROWS:
+        return _spared(with_statistics(source, doc_id, text).select("doc_id", "statistics").join(known, "doc_id"))
+    labelled = source.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    return _spared(with_statistics(labelled, "doc_id", "text").select("doc_id", "statistics").join(F.broadcast(known), "doc_id"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that score ``least`` or more, with all their columns; texts are read twice and not moved."""
-    model = train(with_statistics(docs, doc_id, text), labels, label)
+    model = train_on_texts(docs, labels, label, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):

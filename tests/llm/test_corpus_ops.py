@@ -72,11 +72,11 @@ def copies():
     return docs
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_duplicates_equal_brute_force(spark, copies, percent):
+@pytest.mark.parametrize(("percent", "exact"), [(80, False), (85, False), (80, True)])
+def test_near_duplicates_equal_brute_force(spark, copies, percent, exact):
     df = spark.createDataFrame([(*d, 1) for d in copies], "doc_id long, text string, class int")
     want = brute_groups(copies, percent)
-    got = near_dup.near_duplicates(df, percent=percent).collect()
+    got = near_dup.near_duplicates(df, percent=percent, exact=exact).collect()
     assert len(got) == len(copies)
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
@@ -278,6 +278,24 @@ def test_classifiers_odd_rows(spark, classify):
     assert classify(docs.limit(0), df).count() == 0
 
 
+def test_ridge_equals_a_direct_solve(spark):
+    rng = np.random.default_rng(7)
+    n, d = 700, len(quality.NAMES)
+    x = (rng.normal(size=(n, d)) * rng.uniform(0.5, 3, d) + rng.normal(size=d)).astype(np.float32)
+    y = (x[:, 0] - x[:, 1] ** 2 + rng.normal(size=n) > 0).astype(float)
+    spare = np.arange(n) % 4 == 0
+    rows = [(a.tolist(), float(b), bool(c)) for a, b, c in zip(x, y, spare, strict=True)]
+    model = quality.fit(spark.createDataFrame(rows, "statistics array<float>, label double, spare boolean").repartition(5))
+    x = x.astype(np.float64)
+    mean, scale = x.mean(0), x.std(0)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale, rtol=1e-6)
+    z, t, share = quality.fourier((x - mean) / scale)[~spare], y[~spare], y.mean()
+    w = np.where(t >= 0.5, 0.5 / share, 0.5 / (1 - share))
+    want = np.linalg.solve((z * w[:, None]).T @ z + quality.RIDGE * np.eye(z.shape[1]), (z * w[:, None]).T @ (2 * t - 1))
+    assert np.allclose(quality.fourier((x - mean) / scale) @ want, model.raw(x), atol=1e-6)
+    assert ((model.score(x) >= 0) & (model.score(x) <= 1)).all()
+
+
 # ---- toxicity
 
 
@@ -539,3 +557,30 @@ def test_rows_of_one_id_are_decided_by_their_texts(spark):
     assert got.columns == docs.columns
     want = [(1, a), (5, b), (7, c), (7, rows[5][1]), (None, a)]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(((d, " ".join(w)) for d, w in want), key=str)
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline as cp
+
+    sf_dir = "/root/testdata/sf0.01"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class long, kept boolean, spans string, score double, ids string"
+    long = "A quiet sentence about the harbour and its boats. " * 4000
+    rows = [(1, long), (2, None), (None, "A short note about nothing in particular."), (3, ""), (3, ""), (4, "mail me at a.b@c.de now"), (4, "another text with this id")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, True, "x", 0.5, "y") for i, t in rows], schema)
+    for name, stage in cp.STAGES:
+        out, empty = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and empty.columns == out.columns
+        got = out.collect()
+        if name == "piece_ids":
+            assert len(got) == len(rows) and {r["decoded"] for r in got} == {t or "" for _, t in rows}
+            continue
+        assert out.columns == list(cp.COLUMNS)
+        texts = sorted((r["doc_id"], r["text"]) if r["doc_id"] else (0, r["text"]) for r in got if r["text"])
+        if name == "near_duplicates":
+            assert len(got) == len(rows) - 1  # the repeated row
+        elif name == "decontamination":
+            assert len(got) == len(rows)
+        elif name == "personal_data":
+            assert (4, "mail me at <EMAIL> now") in texts and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        else:
+            assert (4, "another text with this id") in texts or len(got) < len(rows)
