@@ -301,6 +301,28 @@ def best_window(beats: DataFrame, key: str, t: str, drop: str, length: float, be
     return rows.groupBy(key, "start").agg(F.array_sort(F.collect_list(F.round(F.col(t) - F.col("start"), 6))).alias("beats"))
 
 
+def beat_sheet(beats: DataFrame, levels: DataFrame, key: str, t: str, value: str, length: float, before: float, beat_seconds: float) -> DataFrame:
+    """One row a track: duration, bar, beats, downbeats, sections by time, the drop, and the cut with its own beats.
+
+    ``beats`` is (key, t, low): the low-band level at each beat, which tells the phase of the downbeats. The
+    drop is the downbeat with the largest rise; without one it is the beat a third of the way in.
+    """
+    n = F.row_number().over(_w(key, t)) - 1
+    numbered = beats.withColumn("_n", n)
+    phases = phase_of_most(beats, key, [t], "low")
+    marked = numbered.join(phases, key).withColumn("_down", (F.col("_n") >= F.col("phase")) & ((F.col("_n") - F.col("phase")) % 4 == 0))
+    rises = section_lifts(levels, marked.where("_down").select(key, t), key, t, value)
+    found = rises.groupBy(key).agg(F.sort_array(F.collect_list(F.round(t, 3))).alias("sections"), F.min_by(t, "rank").alias("_drop"))
+    times = lambda when: F.sort_array(F.collect_list(F.when(when, F.round(t, 3))))
+    lists = marked.groupBy(key).agg(times(F.lit(True)).alias("beats"), times(F.col("_down")).alias("downbeats"))
+    ends = levels.groupBy(key).agg(F.max(t).alias("duration"))
+    out = lists.join(ends, key).join(found, key, "left")
+    out = out.withColumn("drop", F.coalesce("_drop", F.get("beats", F.floor(F.size("beats") / 3).cast("int")))).withColumn("start", F.greatest(F.lit(0.0), F.least(F.col("drop") - before, F.col("duration") - length)))
+    inside = lambda c: F.transform(F.filter(c, lambda b: (b >= F.col("start")) & (b < F.col("start") + length)), lambda b: F.round(b - F.col("start"), 3))
+    window = F.struct(F.col("start"), (F.col("start") + length).alias("end"), (F.col("drop") - F.col("start")).alias("drop_in_film"), inside("beats").alias("beats_in_film"), inside("downbeats").alias("downbeats_in_film"))
+    return out.select(key, "duration", F.lit(4 * beat_seconds).alias("bar"), "beats", "downbeats", F.coalesce("sections", F.array().cast("array<double>")).alias("sections"), "drop", window.alias("window"))
+
+
 MOST_KEYS = 10_000
 
 

@@ -242,10 +242,43 @@ def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.as_json(table(spark, sf_dir, "labels"))
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as whole text files, read back."""
+    path = files.work_dir(spark, "texts")
+    table(spark, sf_dir, "benchmark").select("item_id", "text").repartition(4, "item_id").write.partitionBy("item_id").text(path)
+    read = files.texts(spark, f"{path}/item_id=*/*.txt")
+    return read.select(F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "text")
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document that holds rows, read by its schema."""
+    path = files.work_dir(spark, "json")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n.agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows")).coalesce(1).write.json(path)
+    return files.json_documents(spark, path, "rows array<struct<n_nationkey:int,n_name:string>>", "rows")
+
+
+def replaced_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache replaced twice; readers see the last state."""
+    path, n = files.work_dir(spark, "cache"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for least in (20, 10, 15):
+        files.replace_table(n.where(F.col("n_nationkey") >= least), path)
+    return files.current_table(spark, path)
+
+
+def overwritten_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept table of which the events of some users are written anew, after a count that it is whole."""
+    path = files.work_dir(spark, "kept")
+    e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 5).alias("part"))
+    e.write.partitionBy("part").parquet(path)
+    files.overwrite_part(e.where("part = 2").withColumn("value", -F.col("value")), path, "part", "event_id", e.count())
+    return spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("value")).withColumn("part", F.col("part").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        keyed_merge, merge_summary, ranked_search, label_facets, source_facets, page_cards, page_keys, number_formats, record_prompts, record_categories, searched_records, searched_by_ratio, searched_by_author,
+        text_files, json_rows, replaced_states, overwritten_parts, keyed_merge, merge_summary, ranked_search, label_facets, source_facets, page_cards, page_keys, number_formats, record_prompts, record_categories, searched_records, searched_by_ratio, searched_by_author,
         record_listing, record_lookups, record_views, records_to_enrich, record_counts, page_links, grepped_pages, fresh_events, sound_files, file_tree, listed_files, paged_users, kept_sources, updated_cues,
         parsed_options, asset_parts, speed_curves, label_documents,
     )
@@ -305,6 +338,10 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN h >= 1000000 THEN format('{:.1f}', round_even(h / 1e6, 1)) || 'M' WHEN h >= 10000 THEN format('{:.0f}', round_even(h / 1e3, 0)) || 'k' WHEN h >= 1000 THEN format('{:.1f}', round_even(h / 1e3, 1)) || 'k' ELSE h::VARCHAR END AS human,
                CASE WHEN w = 0 OR r IS NULL THEN NULL WHEN r >= 1.5 THEN '16:9' WHEN r >= 1.15 THEN '4:3' WHEN r > 0.87 THEN '1:1' WHEN r >= 0.7 THEN '4:5' ELSE '9:16' END AS aspect,
                CASE WHEN q >= 1 THEN round_even(p / q, 5) END AS rate, (m * 60 + s)::DOUBLE AS seconds FROM d""",
+    "text_files": "SELECT item_id, text || chr(10) AS text FROM benchmark",
+    "json_rows": "SELECT n_nationkey, n_name FROM nation",
+    "replaced_states": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 15",
+    "overwritten_parts": "SELECT user_id % 5 AS part, count(*) AS events, round(sum(CASE WHEN user_id % 5 = 2 THEN -value ELSE value END), 2) AS value FROM events GROUP BY user_id % 5",
     "record_prompts": f"WITH {_FIN} SELECT id, len(ps)::BIGINT AS n_prompts, prompt_quality, b.s AS prompt_source, b.x AS prompt_is_post_text, aspect, length(b.t)::BIGINT AS n_chars, saves_per_view FROM fin",
     "record_categories": f"WITH {_RECORDS} SELECT id, array_to_string(categories, '|') AS categories, regexp_replace(lower(tech[1]), '[^0-9a-z]', '', 'g') AS tech, nullif(regexp_extract(url, '/status/([0-9]+)', 1), '') AS status FROM rec",
     "searched_records": f"""WITH {_FIN} SELECT id, ({_TIER('the', 'and')})::BIGINT AS tier, bookmarks FROM deep

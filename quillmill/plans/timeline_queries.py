@@ -110,6 +110,15 @@ def camera_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", *_r(6, "zoom", "x", "y"))
 
 
+def beat_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats, downbeats, sections, drop and cut of the track of each user."""
+    e = _at(spark, sf_dir, 1.0)
+    b = series.beat_sheet(e.select("user_id", "t", F.col("value").alias("low")), e.select("user_id", "t", "value"), "user_id", "t", "value", 10.0, 3.0, 0.5)
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.1f", x)), "|")
+    w = F.col("window")
+    return b.select("user_id", "duration", "bar", F.size("beats").cast("long").alias("beats"), flat("downbeats").alias("downbeats"), flat("sections").alias("sections"), "drop", w["start"].alias("start"), w["drop_in_film"].alias("drop_in_film"), flat(w["downbeats_in_film"]).alias("film"))
+
+
 # ---- voice and levels
 
 
@@ -219,7 +228,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        spring_tracks, even_points, line_prefixes, smooth_lines, paced_lines, cut_windows, music_offsets, downbeat_sections, steepest_rises, spikes_off_cuts, beat_punches, camera_moves, frame_levels,
+        spring_tracks, even_points, line_prefixes, smooth_lines, paced_lines, cut_windows, music_offsets, downbeat_sections, steepest_rises, spikes_off_cuts, beat_punches, camera_moves, beat_sheets, frame_levels,
         voiced_frames, voice_pauses, squeezed_pauses, section_times, recogniser_bias, calibrated_words, momentary_levels, momentary_gaps, spiky_events, energy_shares, low_band_levels, event_floors,
         session_windows, daily_counts,
     )
@@ -279,6 +288,14 @@ ORACLE_SQL = {
             max(x.n) OVER (PARTITION BY x.user_id) AS last FROM n x),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lift DESC, n DESC) AS rank FROM a WHERE n % 4 = 1 AND n >= 4 AND n <= last - 4)
         SELECT user_id, n::DOUBLE AS t, round(lift, 6) AS lift, rank, row_number() OVER (PARTITION BY user_id ORDER BY n) AS place FROM r WHERE rank <= 4""",
+    "beat_sheets": f"""WITH {_N}, m AS (SELECT user_id, n % 4 AS p, avg(value) AS a FROM n GROUP BY ALL), ph AS (SELECT user_id, arg_max(p, (a, -p)) AS phase FROM m GROUP BY user_id),
+        c AS (SELECT user_id, CASE WHEN count(*) < 8 THEN 0 ELSE any_value(phase) END AS phase, max(n)::DOUBLE AS duration, count(*) AS beats FROM n JOIN ph USING (user_id) GROUP BY user_id),
+        d AS (SELECT n.user_id, n.n FROM n JOIN c USING (user_id) WHERE n.n >= phase AND (n.n - phase) % 4 = 0),
+        a AS (SELECT d.user_id, d.n, (SELECT avg(value) FROM n y WHERE y.user_id = d.user_id AND y.n >= d.n AND y.n < d.n + 4) - (SELECT avg(value) FROM n y WHERE y.user_id = d.user_id AND y.n >= d.n - 4 AND y.n < d.n) AS lift FROM d JOIN c USING (user_id) WHERE d.n >= 4 AND d.n <= duration - 4),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lift DESC, n DESC) AS r FROM a), s AS (SELECT user_id, string_agg(format('{{:.1f}}', n::DOUBLE), '|' ORDER BY n) AS sections, arg_min(n, r)::DOUBLE AS drop_at FROM r WHERE r <= 4 GROUP BY user_id),
+        j AS (SELECT c.*, s.sections, coalesce(drop_at, beats // 3)::DOUBLE AS drop_at FROM c LEFT JOIN s USING (user_id)), k AS (SELECT *, greatest(0, least(drop_at - 3, duration - 10))::DOUBLE AS start FROM j)
+        SELECT k.user_id, duration, 2::DOUBLE AS bar, beats, string_agg(format('{{:.1f}}', d.n::DOUBLE), '|' ORDER BY d.n) AS downbeats, coalesce(sections, '') AS sections, drop_at AS "drop", start, drop_at - start AS drop_in_film,
+               coalesce(string_agg(format('{{:.1f}}', (d.n - start)::DOUBLE), '|' ORDER BY d.n) FILTER (d.n >= start AND d.n < start + 10), '') AS film FROM k JOIN d USING (user_id) GROUP BY ALL""",
     "steepest_rises": f"WITH {_N}, d AS (SELECT user_id, n, value - lag(value) OVER v AS rise FROM n {_V}) SELECT user_id, round(arg_max(n, (rise, -n)) * 0.02, 6)::DOUBLE AS t, round(max(rise), 6) AS rise FROM d WHERE rise IS NOT NULL GROUP BY user_id",
     "spikes_off_cuts": f"""WITH {_N}, p AS (SELECT *, (lag(value) OVER v + lead(value) OVER v) / 2 AS a FROM n {_V})
         SELECT event_id, value FROM p WHERE value > 4 AND value > 3 * greatest(coalesce(a, 1.0), 1.0) AND abs(n - 5) > 2 AND abs(n - 20) > 2""",

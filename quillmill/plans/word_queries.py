@@ -63,6 +63,13 @@ def fast_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.too_fast(wd.captions(_timed(spark, sf_dir), TURN)).groupBy(*TURN).agg(F.count(F.lit(1)).alias("fast"))
 
 
+def caption_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions as JSON, one text a turn."""
+    c = wd.captions(_timed(spark, sf_dir), TURN)
+    rows = c.groupBy(*TURN).agg(F.sort_array(F.collect_list(F.struct("ord", "text", F.array("first_word", "last_word").alias("words")))).alias("captions"))
+    return rows.select(*TURN, F.to_json("captions").alias("json"))
+
+
 def _numbered(i) -> F.Column:
     """A word for each place that no other place has, without digits."""
     return F.concat(F.lit("w"), F.translate(i.cast("string"), "0123456789", "abcdefghij"))
@@ -96,7 +103,7 @@ def take_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.take(k, F.lit(20.0), 4.0).select(*TURN, F.round("t", 4).alias("t"))
 
 
-QUERIES = {f.__name__: f for f in (turn_words, nth_word_time, phrase_starts, folded_tokens, typing_gaps, resolved_cues, captions_from_turns, fast_captions, turn_error_rates, timed_turns, take_times)}
+QUERIES = {f.__name__: f for f in (turn_words, nth_word_time, phrase_starts, folded_tokens, typing_gaps, resolved_cues, captions_from_turns, fast_captions, caption_documents, turn_error_rates, timed_turns, take_times)}
 
 _KEY = r"regexp_replace(replace(lower({0}), 'ё', 'е'), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _TURNS = rf"""
@@ -142,6 +149,7 @@ ORACLE_SQL = {
         SELECT conv_id, turn, count(*) AS n_words, sum(length(word))::BIGINT AS n_chars FROM v WHERE {_KEY.format('word')} <> '' GROUP BY ALL""",
     "captions_from_turns": f"WITH RECURSIVE {_CAPTIONS} SELECT *, round(length(text) / greatest(t1 - t0, 0.01), 4) AS rate FROM cz",
     "fast_captions": f"WITH RECURSIVE {_CAPTIONS} SELECT conv_id, turn, count(*) AS fast FROM cz WHERE length(text) / greatest(t1 - t0, 0.01) > 17 GROUP BY ALL",
+    "caption_documents": f"WITH RECURSIVE {_CAPTIONS} SELECT conv_id, turn, to_json(list({{'ord': ord, 'text': text, 'words': [first_word, last_word]}} ORDER BY ord))::VARCHAR AS json FROM cz GROUP BY conv_id, turn",
     "turn_error_rates": """WITH n AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS n FROM conversations), e AS (SELECT *, len(list_filter(range(n), lambda i: i % 7 = 3 OR i % 11 = 5)) AS errors FROM n)
         SELECT conv_id, turn, n::BIGINT AS n_words, errors::BIGINT AS errors, 0::BIGINT AS soft, 0::BIGINT AS extra, round(errors / n, 6) AS wer FROM e""",
     "timed_turns": """WITH i AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS n, unnest(range(len(string_split(text, ' ')))) AS ord FROM conversations)

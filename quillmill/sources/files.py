@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -72,6 +74,16 @@ def speed_curve(spec: Column) -> Column:
 # ---- writers
 
 
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), or of this machine in a local session."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = "file://" + tempfile.gettempdir()
+    return f"{there.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     """Each row as one JSON text; missing fields are left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
