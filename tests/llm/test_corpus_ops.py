@@ -451,10 +451,12 @@ def plain_gibbs(docs, sweeps: int = 60, burn: int = 20) -> dict[int, float]:
 
 def test_scores_are_near_the_plain_sampler(spark):
     docs = _toy()
-    want = plain_gibbs(docs)
-    got = {r["doc_id"]: r for r in hpylm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want, df = plain_gibbs(docs), spark.createDataFrame(docs, "doc_id long, text string")
+    one = {r["doc_id"]: r for r in hpylm.score(df).collect()}  # a single draw is about 1 % low where pairs are frequent
+    got = {r["doc_id"]: r for r in hpylm.score(df, draws=3).collect()}
     for d, x in want.items():
-        assert got[d]["score"] == pytest.approx(x, rel=0.03)
+        assert one[d]["score"] == pytest.approx(x, rel=0.03)
+        assert got[d]["score"] == pytest.approx(x, rel=0.015)
     held = [d for d in want if got[d]["held_out"]]
     assert sum(got[d]["score"] for d in held) == pytest.approx(sum(want[d] for d in held), rel=0.01)
     assert sum(got[d]["score"] for d in held) > 0.7 * sum(got[d]["base_score"] for d in held)  # the context tells a lot
@@ -483,12 +485,12 @@ def test_probabilities_sum_to_one():
 def test_seating():
     n = 4000
     const = lambda at, t: np.full(len(at), 0.5)
-    draws = hpylm.seat(np.full(n, 5), np.arange(n, dtype=np.uint64), 0, const, 0.0)
+    draws = hpylm.seat(np.full(n, 5), hpylm._mix(np.arange(n, dtype=np.uint64)), 0, const, 0.0)
     assert abs(draws.mean() - (1 + sum(0.5 / (0.5 + j) for j in range(1, 5)))) < 0.06  # a Dirichlet restaurant of weight 0.5
     t = hpylm.seat(np.array([0, 1, 2, 31, 33, 10_000]), np.arange(6, dtype=np.uint64), 1, lambda at, t: 1 + 0.7 * t, 0.7)
     assert (t <= [0, 1, 2, 31, 33, 10_000]).all() and (t >= [0, 1, 1, 1, 1, 1]).all()
     for k, p in ((1, 0.3), (40, 0.02), (40, 0.97), (500, 0.4)):
-        x = hpylm._binomial(np.full(n, k), np.full(n, p), np.arange(n, dtype=np.uint64), 3)
+        x = hpylm._binomial(np.full(n, k), np.full(n, p), hpylm._mix(np.arange(n, dtype=np.uint64)), 3, 0)
         assert abs(x.mean() - k * p) < 5 * math.sqrt(k * p * (1 - p) / n) + 0.02 and abs(x.std() - math.sqrt(k * p * (1 - p))) < 0.1 * math.sqrt(k * p * (1 - p)) + 0.02
 
 
