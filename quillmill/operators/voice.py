@@ -51,7 +51,8 @@ def squeezed(runs: DataFrame, key: str, rate: int = 48_000, v: dict = packs.VOIC
     length = F.col("t1") - F.col("t0")
     keep = F.when(~F.col("voice") & (F.col("t0") > F.col("_i0")) & (F.col("t1") < F.col("_i1")), F.when(length >= v["sentence"], v["breath"]).when(length > v["gap"], v["gap"]))
     whole = F.floor(keep * rate / 2) * 2 / rate
-    rows = rows.withColumn("kept", F.when(length > keep + 0.02, whole).otherwise(length))
+    # the limit in decimals: as doubles 0.28 and 0.02 make more than 0.3, which a pause of 0.3 s must exceed
+    rows = rows.withColumn("kept", F.when(length > F.round(keep + 0.02, 9), whole).otherwise(length))
     return rows.withColumn("at", F.coalesce(F.sum("kept").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("_i0", "_i1")
 
 
