@@ -76,6 +76,13 @@ def unescape(col: Column) -> Column:
     return F.coalesce(change(F.when(F.contains(col, F.lit("&")), col)), col)
 
 
+def unescape_common(col: Column) -> Column:
+    """The entities of ``packs.ENTITIES`` replaced, with their semicolons; the ampersand last, so that nothing is replaced twice."""
+    for entity, char in packs.ENTITIES:
+        col = F.replace(col, F.lit(entity), F.lit(char))
+    return col
+
+
 def field(page: Column, pattern: str) -> Column:
     """The first group of the first match, unescaped; null without a match."""
     return F.nullif(unescape(F.regexp_extract(page, pattern, 1)), F.lit(""))

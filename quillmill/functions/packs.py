@@ -391,6 +391,9 @@ WORD = r"[а-яa-z0-9]+(?:[-.,][а-яa-z0-9]+)*"
 LONG_SENTENCE, DASH_RATE, LATIN_SHARE = 25, 4, 0.15
 MOST_BOLD, BOLD_UNDER, MOST_EMOJI, HEADER_UNDER, TRIAD_WORDS, PAREN_WORDS, SHOWN = 3, 400, 3, 200, 150, 100, 12
 
+#: Common HTML entities in the order in which they are replaced.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+
 #: Names of one category in several catalogues.
 CATEGORY_ALIASES = {
     "stories": ("story",),

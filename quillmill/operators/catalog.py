@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field as _field
 
 from pyspark.sql import Column, DataFrame
@@ -216,14 +217,14 @@ def facet(df: DataFrame, values: Column, top: int = 40, none: str = "unknown") -
 # ---- pages and files
 
 
-def cards(pages: DataFrame, html: str = "html") -> DataFrame:
+def cards(pages: DataFrame, html: str = "html", unescape: Callable[[Column], Column] = cat.unescape) -> DataFrame:
     """Adds title, heading, number of links and distinct link targets of a page; missing fields are null."""
     h = F.coalesce(F.col(html), F.lit(""))
     links = F.regexp_extract_all(h, F.lit(r'<a href="([^"]*)"'), F.lit(1))
     raw = {"title": r"(?s)<title>(.*?)</title>", "heading": r"(?s)<h1>(.*?)</h1>"}
     # the fields are cut out first, so that no page goes to Python with its title
     out = pages.withColumns({name: F.regexp_extract(h, pattern, 1) for name, pattern in raw.items()} | {"links": F.size(links).cast("long"), "targets": F.size(F.array_distinct(links)).cast("long")})
-    return out.withColumns({name: F.nullif(cat.unescape(F.col(name)), F.lit("")) for name in raw})
+    return out.withColumns({name: F.nullif(unescape(F.col(name)), F.lit("")) for name in raw})
 
 
 def link_names(html: Column, prefix: str, without: list[str] = ()) -> Column:

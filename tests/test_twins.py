@@ -31,3 +31,11 @@ def test_squeezed_pause_at_its_limit(spark, tmp_path):
     """A pause of 0.3 s, by rounding a little more, is over 0.28 + 0.02."""
     r = twin(spark, tmp_path, "squeezed_pauses", "events", events([0.16, 1.02, 0.25, 0.92, 0.5]), EVENTS).first()
     assert (r["runs"], r["kept"], r["last"]) == (4, 2.37, 2.32)
+
+
+def test_cut_entities_stay(spark, tmp_path):
+    """An entity without its semicolon, as cut titles end with, is text; one made by another's replacement too."""
+    html = ["<title>ver&amp</title><h1>a &amp; b</h1>", "<title>&amp;lt; &#39;&nbsp;</title><h1>&copy; &#65;</h1>", "<title></title>", "", None]
+    rows = [(i, "u", h) for i, h in enumerate(html)]
+    got = {r["page_id"]: (r["title"], r["heading"]) for r in twin(spark, tmp_path, "page_cards", "pages", rows, "page_id long, url string, html string").collect()}
+    assert got == {0: ("ver&amp", "a & b"), 1: ("&lt; '\xa0", "&copy; &#65;"), 2: (None, None), 3: (None, None), 4: (None, None)}
