@@ -127,6 +127,33 @@ def adaptive_threshold(df: DataFrame, key: str, value: str, low: float = 0.1, hi
     return p.select(key, F.col("p")[0].alias("floor"), F.col("p")[1].alias("peak"), (F.col("p")[0] + share * (F.col("p")[1] - F.col("p")[0])).alias("threshold"))
 
 
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` rounded once, by the exact errors of the product and the sum."""
+    head = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    p, (ah, bh) = a * b, (head(a), head(b))
+    lost = ((ah * bh - p) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+    total = p + c
+    rest = total - p
+    return total + F.nanvl((p - (total - rest)) + (c - rest) + lost, F.lit(0.0))
+
+
+def with_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Adds linear percentiles of each series, as DuckDB's ``quantile_cont`` has them to the last bit; rows without a key go.
+
+    One sort by key and value; no series is held as an array.
+    """
+    span = W.partitionBy(key)
+    place = F.when(F.col(value).isNotNull(), F.row_number().over(_w(key, F.asc_nulls_last(value))) - 1)
+    rows = df.where(F.col(key).isNotNull()).withColumn("_place", place).withColumn("_last", F.count(value).over(span) - 1)
+    for name, share in shares.items():
+        at = F.col("_last") * share
+        lower, upper = (F.max(F.when(F.col("_place") == edge(at), F.col(value))).over(span) for edge in (F.floor, F.ceil))
+        rows = rows.withColumn("_lower", lower).withColumn("_upper", upper).withColumn("_part", at - F.floor(at))
+        between = _fused(1 - F.col("_part"), F.col("_lower"), F.col("_part") * F.col("_upper"))
+        rows = rows.withColumn(name, F.when(F.col("_part") == 0, F.col("_lower")).otherwise(between))
+    return rows.drop("_place", "_last", "_lower", "_upper", "_part")
+
+
 def phase_of_most(df: DataFrame, key: str, order: list[str], value: str, phases: int = 4, least: int = 8) -> DataFrame:
     """The phase (row number modulo ``phases``) with the largest mean; phase 0 for short series, the first on ties."""
     numbered = df.withColumn("phase", (F.row_number().over(_w(key, *order)) - 1) % phases)

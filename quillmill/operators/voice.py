@@ -21,11 +21,10 @@ def frame_energy(samples: DataFrame, key: str, size: int, i: str = "i", x: str =
 
 def voiced(frames: DataFrame, key: str, order: str = "frame", value: str = "db") -> DataFrame:
     """Adds ``voice``: frames over a threshold between the quiet and the loud percentile of their series, widened by two before and three after."""
-    p = frames.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.95))).alias("_p"))
-    limits = p.select(key, F.greatest(F.col("_p")[0] + 8, F.col("_p")[1] - 38).alias("_limit"))
-    rows = frames.join(limits, key).withColumn("_on", F.col(value) > F.col("_limit"))
+    p = series.with_percentiles(frames, key, value, {"_quiet": 0.1, "_loud": 0.95})
+    rows = p.withColumn("_on", F.coalesce(F.col(value) > F.greatest(F.col("_quiet") + 8, F.col("_loud") - 38), F.lit(False)))
     # an onset is seen two frames ahead, an end holds for three
-    return series.dilate(rows, key, [order], "_on", before=3, after=2).withColumnRenamed("wide", "voice").drop("_on", "_limit")
+    return series.dilate(rows, key, [order], "_on", before=3, after=2).withColumnRenamed("wide", "voice").drop("_on", "_quiet", "_loud")
 
 
 def pauses(frames: DataFrame, key: str, hop: float, least: float = 0.12, order: str = "frame", voice: str = "voice") -> DataFrame:

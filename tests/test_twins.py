@@ -39,3 +39,10 @@ def test_cut_entities_stay(spark, tmp_path):
     rows = [(i, "u", h) for i, h in enumerate(html)]
     got = {r["page_id"]: (r["title"], r["heading"]) for r in twin(spark, tmp_path, "page_cards", "pages", rows, "page_id long, url string, html string").collect()}
     assert got == {0: ("ver&amp", "a & b"), 1: ("&lt; '\xa0", "&copy; &#65;"), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
+def test_limit_between_frames(spark, tmp_path):
+    """The first frame is the limit itself, by a percentile rounded once; by one rounded twice it is over it."""
+    quiet, loud = [13.43, 10.23, 5.02, 11.32, 9.12, 2.25], [22.37, 21.54, 22.52, 16.25, 17.94, 13.47]
+    r = twin(spark, tmp_path, "voiced_frames", "events", events(quiet + loud), EVENTS).first()
+    assert (r["voiced"], r["first"]) == (8, 4)
