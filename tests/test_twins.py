@@ -46,3 +46,10 @@ def test_limit_between_frames(spark, tmp_path):
     quiet, loud = [13.43, 10.23, 5.02, 11.32, 9.12, 2.25], [22.37, 21.54, 22.52, 16.25, 17.94, 13.47]
     r = twin(spark, tmp_path, "voiced_frames", "events", events(quiet + loud), EVENTS).first()
     assert (r["voiced"], r["first"]) == (8, 4)
+
+
+def test_limit_inside_a_pause(spark, tmp_path):
+    """A frame in a pause is over the limit by the last bit, and the pause ends there."""
+    quiet = [4.79, 1.09, 1.89, 5.81, 3.09, 3.55, 4.29, 3.8, 10.73, 5.26, 4.12, 5.33]
+    r = twin(spark, tmp_path, "voice_pauses", "events", events([23.04, 30.37, 39.5, *quiet, 34.04, 21.8, 22.22]), EVENTS).collect()
+    assert [(x["t0"], x["t1"]) for x in r] == [(0.06, 0.09)]
