@@ -29,7 +29,8 @@ def without_descendants(rows: DataFrame, key: list[str], path: str = "id") -> Da
 def fast_moves(boxes: DataFrame, fps: float, limit: float, cuts: list[float] = ()) -> DataFrame:
     """Boxes whose centre moves more than ``limit`` px to the next frame; steps over a cut and children of moving boxes aside."""
     w = W.partitionBy("id").orderBy("i")
-    step = F.hypot(F.lead("cx").over(w) - F.col("cx"), F.lead("cy").over(w) - F.col("cy"))
+    dx, dy = (F.lead(c).over(w) - F.col(c) for c in ("cx", "cy"))
+    step = F.sqrt(dx * dx + dy * dy)  # rounded as in SQL, where equal steps are ranked by their last bit; hypot rounds otherwise
     rows = boxes.withColumn("px", F.when(F.lead("i").over(w) == F.col("i") + 1, step)).withColumn("seen", F.col("is_on") | F.coalesce(F.lead("is_on").over(w), F.lit(False)))
     crosses = F.exists(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: (F.col("t") < c) & (F.col("t") + 1 / fps >= c))
     return without_descendants(rows.where((F.col("px") > limit) & F.col("seen") & ~crosses).select("i", "t", "id", "px"), ["i"])

@@ -66,3 +66,13 @@ def test_equal_rises_by_the_last_bit(spark, tmp_path):
     rows = [e for user in range(600) for e in events(RISES, user)]
     r = twin(spark, tmp_path, "downbeat_sections", "events", rows, EVENTS).where("user_id = 7").orderBy("rank").collect()
     assert [x["t"] for x in r] == [13.0, 5.0, 9.0]
+
+
+STEPS = [[40.93, 80.04, 98.77, 137.88], [24.54, 58.81, 84.76, 119.03], [67.54, 112.25, 74.52, 119.23], [82.55, 130.81, 99.64, 147.9], [7.13, 63.47, 78.16, 134.5], [29.81, 74.0, 38.85, 83.04]]
+
+
+def test_peak_of_equal_steps(spark, tmp_path):
+    """Two steps of a span are equal on paper; the last bit says which is its peak."""
+    rows = [e for i, v in enumerate(STEPS) for e in events(v, 2 * i + 1)]
+    r = twin(spark, tmp_path, "fast_spans", "events", rows, EVENTS).where("i0 = 0 and i1 = 2").collect()
+    assert {x["id"]: round(x["at"] * 30) for x in r} == {f"root>u{2 * i + 1}": at for i, at in enumerate((2, 2, 0, 0, 0, 0))}
