@@ -17,7 +17,8 @@ from quillmill.streaming import sessions
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    return e.withColumn("n", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long"))
+    w = W.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))  # where DuckDB has nulls
+    return e.withColumn("n", (F.row_number().over(w) - 1).cast("long"))
 
 
 def _at(spark: SparkSession, sf_dir: str, step: float) -> DataFrame:

@@ -56,6 +56,15 @@ def test_limit_inside_a_pause(spark, tmp_path):
     assert [(x["t0"], x["t1"]) for x in r] == [(0.06, 0.09)]
 
 
+def test_pauses_with_events_without_a_time(spark, tmp_path):
+    """Events without a time are the last frames of their user, those without an id the last of their time."""
+    rows = events([90 if i in (0, 10, 30) else 0 for i in range(40)])
+    rows[0] = (0, None, *rows[0][2:])
+    rows.append((None, *rows[20][1:4], 90.0))
+    r = twin(spark, tmp_path, "voice_pauses", "events", rows, EVENTS).orderBy("t0").collect()
+    assert [(x["t0"], x["t1"]) for x in r] == [(0.13, 0.18), (0.24, 0.28), (0.34, 0.38)]
+
+
 RISES = [4.8, 8.0, 5.4, 0.3, 7.5, 0.1, 8.9, 5.2, 5.6, 2.1, 7.8, 3.3, 5.2, 0.5, 6.1, 7.6, 5.5, 7.3]
 
 
