@@ -9,7 +9,8 @@ table backwards. No merge queue is run over the text.
 
 Pieces hold the white-space mark only at their start, and no piece holds a line feed, so a text is
 cut in front of each run of marks and around line feeds without changing the result; encodings of
-these short strings are kept in a bounded table per Python worker.
+these short strings are kept, packed, in a bounded table per Python worker. A new string whose last two
+characters stand together in no piece is that without its last character, and that character.
 
 Defined results: null is the empty text; the empty text has no ids but the end id and decodes to
 the empty text; repeated rows are encoded each; other columns pass through untouched (an existing
@@ -20,10 +21,12 @@ distinct strings between white space are held in memory besides the text itself.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,8 +34,10 @@ from pyspark.sql import types as T
 from quillmill.llm.common import releasing, slices
 
 MARK = "▁"
+#: Stands for the piece before the first one.
+NONE = 1 << 28
 #: Strings and pairs that one worker keeps in its tables while a task runs (about 60 and 25 MB).
-KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
+KEPT_WORDS, KEPT_PAIRS = 400_000, 250_000
 
 
 class PieceModel:
@@ -79,16 +84,19 @@ class PrefixTableEncoder:
 
     def __init__(self, path: str):
         self.model = m = PieceModel(path)
-        self.automaton = ahocorasick.Automaton()
         self.halves: dict[str, tuple[str, str]] = {}  # what each piece is merged from at last
-        for p, i in m.ids.items():
-            made = m.merge(p, self.halves)
-            if made == [p]:  # a piece that BPE never ends on is in no encoding
-                self.automaton.add_word(p, (len(p), i))
+        # a piece that BPE never ends on is in no encoding
+        self.alone = {p: i for p, i in m.ids.items() if m.merge(p, self.halves) == [p]}
+        self.together = {p[k : k + 2] for p in m.ids for k in range(len(p) - 1)}
+        self.length, self.code = list(map(len, m.pieces)), [array("i", [i]).tobytes() for i in range(len(m.pieces))]
+        self.lefts = {i: _Lefts(self, i) for i in self.alone.values()}
+        self.pairs = 0
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.alone.items():
+            self.automaton.add_word(p, (len(p), i, self.lefts[i]))
         self.automaton.make_automaton()
         known = "".join(re.escape(p) for p in m.ids if len(p) == 1)
         self.unknown = re.compile(f"([^{known}])")
-        self.pair: dict[int, bool] = {}
         self.edge: dict[tuple[int, int], list[tuple[str, float]]] = {}
         self.plain = [None if m.byte_of.get(i, 0) > 127 else chr(m.byte_of[i]) if i in m.byte_of else "" if i in m.control else m.unk_text if i == m.unk else p.replace(MARK, " ") for i, p in enumerate(m.pieces)]
         self.words = _Words(self)
@@ -108,68 +116,66 @@ class PrefixTableEncoder:
         They aren't if some merge across their border would have come before the merges that take
         the two strings it joins; on equal ranks the one further left comes first.
         """
-        key = left << 32 | right
-        ok = self.pair.get(key)
-        if ok is None:
-            if len(self.pair) >= KEPT_PAIRS:
-                self.pair.clear()
-            edges, rank = self.edge, self.model.rank
-            if (a := edges.get((left, 1))) is None:
-                a = edges[left, 1] = self._edge(left, 1)
-            if (b := edges.get((right, 0))) is None:
-                b = edges[right, 0] = self._edge(right, 0)
-            ok = True
-            for x, x_taken in a:
-                for y, y_taken in b:
-                    if (r := rank.get(x + y)) is not None and r < x_taken and r <= y_taken:
-                        ok = False
-            self.pair[key] = ok
-        return ok
-
-    def _known(self, text: str) -> list[int]:
-        """Ids of a text all of whose characters are pieces."""
-        if (i := self.model.ids.get(text)) is not None and (len(text) == 1 or text in self.automaton):
-            return [i]
-        last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        pair, compatible = self.pair, self.compatible
-        for end, (n, i) in self.automaton.iter(text):
-            end += 1
-            if last[end] < 0:
-                before = last[end - n]
-                if n == end or (before >= 0 and ((ok := pair.get(before << 32 | i)) or ok is None and compatible(before, i))):
-                    last[end], size[end] = i, n
-        at, out = len(text), []
-        while at:
-            out.append(last[at])
-            at -= size[at]
+        edges, rank, pieces = self.edge, self.model.rank, self.model.pieces
+        if pieces[left][-1] + pieces[right][0] not in self.together:
+            return True
+        if (a := edges.get((left, 1))) is None:
+            a = edges[left, 1] = self._edge(left, 1)
+        if (b := edges.get((right, 0))) is None:
+            b = edges[right, 0] = self._edge(right, 0)
+        for x, x_taken in a:
+            for y, y_taken in b:
+                if (r := rank.get(x + y)) is not None and r < x_taken and r <= y_taken:
+                    return False
+        return True
+
+    def forget_pairs(self) -> None:
+        self.pairs = 0
+        self.edge.clear()
+        for lefts in self.lefts.values():
+            lefts.clear()
+
+    def _known(self, text: str) -> bytes:
+        """Packed ids of a text all of whose characters are pieces."""
+        code = self.code
+        if (i := self.alone.get(text)) is not None:
+            return code[i]
+        last = [-1] * len(text)
+        last.append(NONE)  # the last piece of the empty prefix, which ends at -1
+        for end, (n, i, lefts) in self.automaton.iter(text):
+            if last[end] < 0 and (before := last[end - n]) >= 0 and lefts[before]:
+                last[end] = i
+        at, out, length = len(text) - 1, [], self.length
+        while at >= 0:
+            out.append(code[i := last[at]])
+            at -= length[i]
         out.reverse()
-        return out
+        return b"".join(out)
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one string between cuts; characters without a piece become byte pieces."""
-        m = self.model
+    def word(self, text: str) -> bytes:
+        """Packed ids of one string between cuts; characters without a piece become byte pieces."""
+        m, code = self.model, self.code
         text = text.replace(" ", MARK)
         if not self.unknown.search(text):
             return self._known(text)
-        out: list[int] = []
+        out = []
         for k, part in enumerate(self.unknown.split(text)):
             if k % 2 == 0:
-                out += self._known(part) if part else []
+                if part:
+                    out.append(self._known(part))
             elif m.byte_id:
-                out += [m.byte_id[b] for b in part.encode("utf-8", "surrogatepass")]
+                out += [code[m.byte_id[b]] for b in part.encode("utf-8", "surrogatepass")]
             else:
-                out.append(m.unk)
-        return out
+                out.append(code[m.unk])
+        return b"".join(out)
+
+    def packed(self, text: str, end: bool = True) -> bytes:
+        """The ids of a text, four bytes each."""
+        out = b"".join(map(self.words.__getitem__, CUT.findall(" " + text))) if text else b""
+        return out + self.code[self.model.eos] if end else out
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        out: list[int] = []
-        if text:
-            words = self.words
-            for w in CUT.findall(" " + text):
-                out += words[w]
-        if end:
-            out.append(self.model.eos)
-        return out
+        return unpacked(self.packed(text, end))
 
     def decode(self, ids: list[int]) -> str:
         """Pieces to text: marks become spaces, the leading one goes, byte runs are read as UTF-8 (bad bytes: U+FFFD)."""
@@ -218,19 +224,45 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, np.int32).tolist()
+
+
+class _Lefts(dict):
+    """Pieces that may stand before one piece -> whether the two are compatible; when there are too many pairs all start anew."""
+
+    __slots__ = ("encoder", "piece")
+
+    def __init__(self, encoder: PrefixTableEncoder, piece: int):
+        super().__init__()
+        self.encoder, self.piece = encoder, piece
+
+    def __missing__(self, left: int) -> bool:
+        enc = self.encoder
+        ok = left == NONE or enc.compatible(left, self.piece)
+        if enc.pairs >= KEPT_PAIRS:
+            enc.forget_pairs()
+        enc.pairs += 1
+        self[left] = ok
+        return ok
+
+
 class _Words(dict):
-    """String between cuts -> ids; full tables start anew."""
+    """String between cuts -> packed ids; full tables start anew."""
 
     def __init__(self, encoder: PrefixTableEncoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encoder.word(word)
-        if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
+    def __missing__(self, word: str) -> bytes:
+        enc = self.encoder
+        if len(word) > 64:
+            return enc.word(word)
+        split = word[-2:-1] not in ("", " ", MARK) and word[-2:] not in enc.together
+        ids = self[word[:-1]] + self[word[-1]] if split else enc.word(word)
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -243,7 +275,8 @@ def encoder(path: str) -> PrefixTableEncoder:
 def forget(path: str) -> None:
     """Empty the tables that the worker's encoder has filled; the vocabulary and its automaton stay."""
     enc = encoder(path)
-    enc.words.clear(), enc.pair.clear(), enc.edge.clear()
+    enc.words.clear()
+    enc.forget_pairs()
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -257,10 +290,12 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for batch in slices(batches):
-            got = [enc.encode(t or "") for t in batch.column(text).to_pylist()]
-            cols = [batch.column(c) for c in keep] + [pa.array(got, pa.list_(pa.int32()))]
+            got = [enc.packed(t or "") for t in batch.column(text).to_pylist()]
+            flat = np.frombuffer(b"".join(got), np.int32)
+            ends = np.cumsum([0, *(len(x) >> 2 for x in got)], dtype=np.int32)
+            cols = [batch.column(c) for c in keep] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), pa.list_(pa.field("element", pa.int32(), False)))]
             if decoded:
-                cols.append(pa.array([enc.decode(x) for x in got], pa.string()))
+                cols.append(pa.array([enc.decode(unpacked(x)) for x in got], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=keep + [ids] + ([decoded] if decoded else []))
 
     return df.mapInArrow(lambda batches: releasing(run(batches), lambda: forget(model_path)), out)

@@ -139,6 +139,24 @@ def test_pairs_are_encodings_of_their_text(pieces):
             assert ours.compatible(a, b) == (ours.model.merge(x + y) == [x, y])
 
 
+def test_pieces_fill_the_table_once_for_a_word_and_its_stops(pieces, monkeypatch):
+    enc, filled = piece_bpe.PrefixTableEncoder(P.path("piece_bpe_32k.model")), []
+    fill = enc.word
+    monkeypatch.setattr(enc, "word", lambda w: filled.append(w) or fill(w))
+    text = "haanth haanth, haanth. 3.5 Ê.ê. ... 日. ▁.▁"
+    assert enc.encode(text) == pieces[1].encode(text, add_eos=True)
+    assert [w for w in filled if "haanth" in w] == [" haanth"]
+
+
+def test_pieces_with_full_tables(pieces, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(piece_bpe, "KEPT_PAIRS", 3)
+    enc = piece_bpe.PrefixTableEncoder(P.path("piece_bpe_32k.model"))
+    for text in ("The quick, brown fox. jumps over; the lazy dog!", "(él) «dijo»: 12.345,67 — ¿qué?…", "x." * 50):
+        assert enc.encode(text) == pieces[1].encode(text, add_eos=True)
+        assert len(enc.words) <= 3
+
+
 def test_piece_frames(spark, pieces):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)], "doc_id long, text string, ids int")
     got = piece_bpe.encode(df, P.path("piece_bpe_32k.model"), decoded="decoded").orderBy("doc_id").collect()
