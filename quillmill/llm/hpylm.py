@@ -53,6 +53,8 @@ from quillmill.llm.common import discard, fresh_memory, releasing, slices, writt
 BURN_IN, SAMPLES, CONCENTRATION = 1, 2, 1.0
 SWEEPS = BURN_IN + SAMPLES
 CHUNK_BYTES, SHARE_BYTES, MOST = 16 << 20, 8 << 20, 1 << 14
+#: Rows that are seated at a time.
+SEATED = 8192
 END = b"\n"  # no word holds white space
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows that travel: whom they are for, what they are, whom they come from, packed arrays.
@@ -103,9 +105,12 @@ def whole(a: np.ndarray) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _cuts(sorted_: np.ndarray, bits: int, parts: int) -> list[tuple[int, int, int]]:
@@ -181,27 +186,37 @@ class Pairs:
         new = np.concatenate([np.ones(min(1, len(h)), bool), sorted_[1:] != sorted_[:-1]])
         first = np.flatnonzero(new)
         self.order, self.first, self.hash = order, first, sorted_[first]
-        self.context, self.word = before[order[first]], ids[order[first]]
-        self.place = np.empty(len(h), np.int32)
-        self.place[order] = np.cumsum(new) - 1
+        self.context, self.word, self.new = before[order[first]], ids[order[first]], new
+
+    @property
+    def place(self) -> np.ndarray:
+        out = np.empty(len(self.order), np.int32)
+        out[self.order] = np.cumsum(self.new, dtype=np.int32) - 1
+        return out
 
     def sums(self, per_token: np.ndarray) -> np.ndarray:
         return np.add.reduceat(per_token[self.order].astype(np.int64), self.first) if len(self.first) else np.zeros(0, np.int64)
 
 
+class _Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Chunk:
     """Texts of one chunk as rows of word numbers; number 0 is the end."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {END: 0}
+        self.number = _Numbers({END: 0})
         self.docs, self.rows, self.size = [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes know ASCII only
-        number, words = self.number, raw.split()
-        for w in set(words).difference(number):
-            number[w] = len(number)
-        self.rows.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        words = raw.split()
+        self.rows.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.docs.append(doc_id)
         self.size += len(raw) + 64
 
@@ -332,26 +347,43 @@ def _binomial(n: np.ndarray, p: np.ndarray, seed: np.ndarray, sweep: int, turn:
     return out
 
 
-def _seated(customers: np.ndarray, seed: np.ndarray, sweep: int, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], d: float, weighed: bool) -> tuple[np.ndarray, np.ndarray]:
+def most_first(customers: np.ndarray) -> np.ndarray:
+    """The order in which seating is quickest."""
+    return np.argsort(-customers)
+
+
+def _seated(customers: np.ndarray, seed: np.ndarray, sweep: int, weight: Callable[[np.ndarray | slice, np.ndarray], np.ndarray], d: float, weighed: bool) -> tuple[np.ndarray, np.ndarray]:
     """Tables after all customers came in one by one, and the logarithm of how likely such a seating is against how often it is drawn."""
+    if (customers[1:] > customers[:-1]).any():
+        order = most_first(customers)
+        t, likely = np.empty(len(customers), np.int64), np.empty(len(customers))
+        t[order], likely[order] = _seated(customers[order], seed[order], sweep, lambda at, new: weight(order[at], new), d, weighed)
+        return t, likely
     t, likely = (customers > 0).astype(np.int64), np.zeros(len(customers))
-    live, done, block, turn = np.flatnonzero(customers > 1), 1, 1, 0
-    while len(live):
-        now, drawn = t[live], seed[live]
-        new, take = weight(live, now), np.minimum(block, customers[live] - done)
-        all_ = new + done + (take - 1) / 2 - d * now  # as it is in the middle of a block
-        if weighed:
-            likely[live] += take * np.log(all_)
-        now += uniform(drawn, sweep, turn, 0) < new / all_ if block == 1 else _binomial(take, new / all_, drawn, sweep, turn)
-        t[live] = now
-        done, turn = done + block, turn + 1
-        live = live[customers[live] > done]
-        block = 1 if done < 32 else done
+    falling = -customers
+    for begin in range(0, np.searchsorted(falling, -1), SEATED):  # so few that they stay in the processor's cache
+        end, done, block, turn = begin + SEATED, 1, 1, 0
+        while begin < (end := begin + int(np.searchsorted(falling[begin:end], -done))):  # those who have more customers come first
+            live = slice(begin, end)
+            now, drawn = t[live], seed[live]
+            new, take = weight(live, now), np.minimum(block, customers[live] - done)
+            all_ = new + done + (take - 1) / 2 - d * now  # as it is in the middle of a block
+            if weighed:
+                likely[live] += take * np.log(all_)
+            now += uniform(drawn, sweep, turn, 0) < new / all_ if block == 1 else _binomial(take, new / all_, drawn, sweep, turn)
+            done, turn = done + block, turn + 1
+            block = 1 if done < 32 else done
     return t, likely
 
 
 def seat(customers: np.ndarray, seed: np.ndarray, sweep: int, weight: Callable[[np.ndarray, np.ndarray], np.ndarray], d: float, draws: int = 1) -> np.ndarray:
-    """Tables after all customers were seated anew; ``weight(rows, tables)`` is that of a new table when there are so many.
+    """Tables after all customers were seated anew; ``weight(rows, tables)`` is that of a new table when there are so many."""
+    rows = np.arange(len(customers))
+    return seat_runs(customers, seed, sweep, lambda at, new: weight(rows[at], new), d, draws)
+
+
+def seat_runs(customers: np.ndarray, seed: np.ndarray, sweep: int, weight: Callable[[np.ndarray | slice, np.ndarray], np.ndarray], d: float, draws: int = 1) -> np.ndarray:
+    """As ``seat``, for a ``weight`` that takes slices too, which are given where rows come by ``most_first``.
 
     Customers who come in one after the other sit at new tables slightly too often, as nobody there has been
     seated after them; with several ``draws`` one of so many seatings is kept by their weights. Up to two customers need one.
@@ -388,20 +420,25 @@ class Model:
         all_ = CONCENTRATION + self.customers[sweep] - t
         mass = CONCENTRATION + self.leaf * (own - t)
 
-        def weight(at: np.ndarray, new: np.ndarray) -> np.ndarray:
+        def weight(at: np.ndarray | slice, new: np.ndarray) -> np.ndarray:
             return (mass[at] + self.leaf * new) * (fixed[at] + new) / (all_[at] + new)
 
-        return seat(c, seed, sweep, weight, self.leaf, self.draws)
+        return seat_runs(c, seed, sweep, weight, self.leaf, self.draws)
 
     def seat_words(self, q, r, seed, sweep: int) -> np.ndarray:
         """Tables of the words at the parent."""
         weight = lambda at, new: (CONCENTRATION + self.root * (self.tables[-1] - r[at] + new)) * self.base
         return seat(q, seed, SWEEPS + sweep, weight, self.root, self.draws)
 
-    def predictive(self, c, t, own, n, q, r, sweep: int):
-        """The probability of a word after a context with ``n`` customers at ``own`` tables, ``c`` and ``t`` of which are the word's."""
-        above = (CONCENTRATION + self.leaf * own) * self.parent(q, r, sweep)
-        return (c - self.leaf * t + above) / (CONCENTRATION + n)
+    def predictive(self, c, t, own, n, q, r, sweep: int, u=None, w=None):
+        """The probability of a word after a context with ``n`` customers at ``own`` tables, ``c`` and ``t`` of which are the word's.
+
+        ``u`` and ``w`` number contexts and words of the pairs, if the other arrays hold each of them once.
+        """
+        mass, above, all_ = CONCENTRATION + self.leaf * own, self.parent(q, r, sweep), CONCENTRATION + n
+        if u is not None:
+            mass, above, all_ = mass[u], above[w], all_[u]
+        return (c - self.leaf * t + mass * above) / all_
 
 
 def _discount(once: int, twice: int) -> float:
@@ -416,6 +453,7 @@ def _seats(bucket: int, mail: dict, sizes: Sizes) -> Iterator[tuple]:
     """The pairs of a bucket with one table each, and the words whose totals it asks for."""
     got = [unpack(b) for _, b in mail[PAIRS]]
     u, w, c = (np.concatenate([g[k] for g in got]) for k in range(3))
+    u, w, c = (x[most_first(c.astype(np.int64))] for x in (u, w, c))
     slots, at = np.unique(np.concatenate([u, w]), return_inverse=True)
     zero = np.zeros(len(slots), np.int32)
     yield bucket, STATE, 0, pack(steps(slots), at[: len(u)].astype(np.int32), at[len(u) :].astype(np.int32), c, np.ones(len(c), np.uint32))
@@ -517,6 +555,7 @@ def _scores(mail: dict, sizes: Sizes, model: Model, tokens: int, known: int) ->
     u, w, c = r.pairs.context, r.pairs.word, r.total
     t = np.minimum(c, 1)
     several = np.flatnonzero(c > 1)
+    several = several[most_first(c[several])]
     a, b, seed = u[several], w[several], pair_seed(r.prints[u[several]], r.prints[w[several]])
     p = np.zeros(len(c))
     for sweep in range(SWEEPS):
@@ -524,7 +563,7 @@ def _scores(mail: dict, sizes: Sizes, model: Model, tokens: int, known: int) ->
         t[several] = model.seat_pairs(c[several], t[several], own[a], q[b], tables[b], seed, sweep)
         if sweep >= BURN_IN:
             own, q, tables = seen[sweep + 1]
-            p += model.predictive(c, t, own[u], n[u], q[w], tables[w], sweep + 1) / SAMPLES
+            p += model.predictive(c, t, own, n, q, tables, sweep + 1, u, w) / SAMPLES
     starts = np.cumsum(r.sizes) - r.sizes
     add = lambda x: np.add.reduceat(x, starts)
     base = np.log10((n + 0.1) / (tokens + 0.1 * (known + 1)))

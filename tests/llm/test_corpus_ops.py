@@ -494,6 +494,24 @@ def test_seating():
         assert abs(x.mean() - k * p) < 5 * math.sqrt(k * p * (1 - p) / n) + 0.02 and abs(x.std() - math.sqrt(k * p * (1 - p))) < 0.1 * math.sqrt(k * p * (1 - p)) + 0.02
 
 
+def test_seating_by_blocks(monkeypatch):
+    n, asked, rng = 3000, [], np.random.default_rng(5)
+    c, seed, mass = rng.integers(0, 300, n), hpylm._mix(np.arange(n, dtype=np.uint64)), rng.random(n)
+
+    def weight(at, t):
+        asked.append(len(t))
+        return mass[at] + 0.7 * t
+
+    at_once = hpylm.seat(c, seed, 1, weight, 0.7)
+    monkeypatch.setattr(hpylm, "SEATED", 100, raising=False)
+    asked.clear()
+    order = rng.permutation(n)
+    assert (hpylm.seat(c[order], seed[order], 1, lambda at, t: weight(order[at], t), 0.7) == at_once[order]).all()
+    assert max(asked) == 100  # what is seated at a time stays in the processor's cache
+    for k in range(40):
+        assert hpylm.seat(c[k : k + 1], seed[k : k + 1], 1, lambda at, t, k=k: weight(at + k, t), 0.7) == at_once[k]
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(0)
     arrays = [np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), np.empty(0, np.int32), np.array([-5, 7], np.int64), np.array([1, 0, 1], np.uint8)]
