@@ -36,8 +36,8 @@ from quillmill.llm.common import releasing, slices
 MARK = "▁"
 #: Stands for the piece before the first one.
 NONE = 1 << 28
-#: Strings and pairs that one worker keeps in its tables while a task runs (about 60 and 25 MB).
-KEPT_WORDS, KEPT_PAIRS = 400_000, 250_000
+#: Strings and pairs that one worker keeps in its tables while a task runs (about 40 and 15 MB).
+KEPT_WORDS, KEPT_PAIRS = 300_000, 250_000
 
 
 class PieceModel:
